@@ -55,12 +55,12 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     per = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     ratios = {
         "word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"),
-        "upper_ratio": per("n_upper", "word_chars"), "digit_ratio": per("n_digits", "word_chars"), "mark_ratio": per("n_marks", "n_words"), "distinct_ratio": per("n_distinct", "n_words"), "short_ratio": per("n_short", "n_words"), "line_words": per("n_words", "n_lines"), "words": F.col("n_words").cast("double"),
+        "upper_ratio": per("n_upper", "word_chars"), "digit_ratio": per("n_digits", "word_chars"), "mark_ratio": per("n_marks", "n_words"), "diversity": F.when(F.col("n_words") > 1, F.log(F.col("n_distinct").cast("double")) / F.log(F.col("n_words").cast("double"))).otherwise(F.lit(1.0)), "short_ratio": per("n_short", "n_words"), "line_words": per("n_words", "n_lines"),
     }
     return df.select("doc_id", *BASE, *[v.alias(k) for k, v in ratios.items()])
 
 
-FEATURES = ("word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "distinct_ratio", "short_ratio", "line_words", "words")
+FEATURES = ("word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "diversity", "short_ratio", "line_words")
 
 
 def _covered(hashes: Column) -> Column:
