@@ -57,3 +57,15 @@ def hex_digits(rows: int, per_bucket: int = 20_000) -> int:
     while 16**digits * per_bucket < rows and digits < 12:
         digits += 1
     return digits
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc, text with unique numbers in the order of the ids; and, unless ids are numbers already, docs with column __doc."""
+    keys = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
+    kind = dict(docs.dtypes)[id_col]
+    if kind in ("tinyint", "smallint", "int", "bigint") and not keys.limit(1).count():
+        return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), None
+    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
+    schema = docs.schema.add("__doc", "long")
+    out = materialise(docs.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "numbered")
+    return out.select(F.col("__doc").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), out
