@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from . import mixing, quality, sharding, suffix_dedup, warc
+from . import jaccard_join, mixing, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,5 +8,6 @@ QUERIES = {
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 ORACLE_SQL = {"op1_warc": warc.ORACLE, "op2_mixing": mixing.ORACLE}
