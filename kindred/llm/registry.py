@@ -1,10 +1,11 @@
 """The queries of this package and their SQL."""
 
-from . import jaccard_join, mixing, quality, sharding, suffix_dedup, warc
+from . import fingerprints, jaccard_join, mixing, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mixing": mixing.op2_mixing,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op9_quality_rules": quality.op9_quality_rules,
