@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from . import fingerprints, jaccard_join, mixing, quality, sharding, suffix_dedup, warc
+from . import fingerprints, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_sharding": sharding.op6_sharding,
+    "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
