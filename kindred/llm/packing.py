@@ -52,7 +52,7 @@ class WordCache(dict):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         else:
             words = _WORDS.findall(text)
-        new = list(set(words).difference(self))
+        new = [w for w in set(words) if w not in self]
         if new:
             if len(self) > CACHE:
                 self.clear()
