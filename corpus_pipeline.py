@@ -1,31 +1,56 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes what a stage keeps as Parquet and
+gives it to the next. All stages but the last return the columns of documents. Null texts and ids, empty tables and repeated
+rows are treated as the operators' own docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import common, mixing, quality
-
-Docs = DataFrame
+from kindred.llm import common, jaccard_join, mixing, packing, quality, suffix_dedup
 
 
-def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """Documents that the quality rules reject go."""
-    verdicts = quality.judge_quality(docs, common.read(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go."""
+    verdicts = quality.judge_quality(docs, common.read(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id"))
     return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
 
 
-def mixing_weights(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """Sources get their shares of words; a document is repeated for each epoch."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles, directly or through others, that with the smallest id stays."""
+    groups = jaccard_join.jaccard_components(docs, size=5, percent=80)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every passage of 100 bytes or more stays at its first place only; documents of which nothing is left go."""
+    cut = suffix_dedup.remove_repeats(docs).filter((F.col("n_removed") == 0) | (F.length("kept_text") > 0))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return cut.select(*[text.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources get their shares of words: a row for each epoch of a document, the last of a source cut at its budget."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing", mixing_weights)]
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as pieces of token sequences."""
+    return packing.pack_documents(docs, packing.vocabulary())
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("mixed sources", mixed_sources), ("packed sequences", packed_sequences)]
+
+#: Stages learn, compare sets and tokenise, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> Docs:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = common.read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
