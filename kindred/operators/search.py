@@ -14,6 +14,8 @@ from ..functions import vectors as V
 from .space import CANDIDATE_POOL, TOP_K, FeatureSpace
 
 FILTER_FIELDS = ("genus", "group_label", "license")
+#: Decimal places beyond which distances tie, as their last digits depend on the order of sums.
+TIE = 9
 #: Queries whose vectors go to every task at once.
 QUERY_BLOCK = 4096
 
@@ -41,8 +43,8 @@ def ranked_scan(space: FeatureSpace, query: Mapping[str, list[float]], filters=N
 
 def top_k(space: FeatureSpace, query: Mapping[str, list[float]], k: int = TOP_K, filters=None, exclude=()) -> DataFrame:
     """rank, id, metadata, distance, similarity, raw_S of the k nearest; ties by id. TakeOrderedAndProject: no full sort."""
-    best = ranked_scan(space, query, filters, exclude).orderBy("distance", space.id_col).limit(k)
-    by = Window.orderBy("distance", space.id_col)  # over k rows
+    best = ranked_scan(space, query, filters, exclude).orderBy(F.round("distance", TIE), space.id_col).limit(k)
+    by = Window.orderBy(F.round("distance", TIE), space.id_col)  # over k rows
     return best.withColumn("rank", F.row_number().over(by)).withColumn("similarity", V.similarity(F.col("distance")))
 
 
@@ -80,7 +82,7 @@ def batch_top_k(space: FeatureSpace, queries: DataFrame, k: int = TOP_K, *, excl
         out = near if out is None else out.unionByName(near)
     if out is None:
         out = items.sparkSession.createDataFrame([], "qid long, id long, distance double")
-    by = Window.partitionBy("qid").orderBy("distance", "id")
+    by = Window.partitionBy("qid").orderBy(F.round("distance", TIE), "id")
     return out.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
@@ -128,7 +130,7 @@ def _nearest(block: pa.Table, sets, metrics, factor, k: int, exclude_self: bool)
                     d[qid[:, None] == ids[None, :]] = np.inf
                 both_d = np.concatenate([best_d, d], axis=1)
                 both_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-                order = np.lexsort((both_i, both_d), axis=1)[:, :k]
+                order = np.lexsort((both_i, np.round(both_d, TIE)), axis=1)[:, :k]
                 best_d, best_i = np.take_along_axis(both_d, order, 1), np.take_along_axis(both_i, order, 1)
         if best_d.shape[1]:
             rows, cols = np.nonzero(np.isfinite(best_d))
