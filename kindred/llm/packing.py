@@ -10,12 +10,15 @@ a piece finds its place from its rank among pieces of its length, which prefix s
 
 from __future__ import annotations
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,27 +42,48 @@ class WordCache(dict):
     """Words' ids as little-endian bytes. The vocabulary's file is opened where it is used."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def encoded(self, text: str) -> bytes:
-        """The ids of a text, as the tokeniser gives them without special tokens."""
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, as the tokeniser gives them without special tokens."""
+        split = [self.words(t) for t in texts]
+        new = list({w for words in split if words is not None for w in words if w not in self})
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = list({w for words in split if words is not None for w in words})
+        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self[word] = np.array(got.ids, "<u4").tobytes()
+        get = self.__getitem__
+        return [b"".join(map(get, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split, strict=True)]
+
+    @staticmethod
+    def words(text: str) -> list[str] | None:
+        """The tokeniser's words; None where they must be left to it."""
         if text.isascii():
-            words = _ASCII_WORDS.findall(text)
-        elif _SEPARATORS.search(text):  # `regex` counts these as white space
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            words = _WORDS.findall(text)
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) > CACHE:
-                self.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+            return _ASCII_WORDS.findall(text)
+        return None if _SEPARATORS.search(text) else _WORDS.findall(text)  # `regex` counts separators as white space
+
+
+@functools.cache
+def word_cache(path: str) -> WordCache:
+    """One cache for all tasks that a Python worker runs."""
+    return WordCache(path)
+
+
+def _groups(sizes: list[int], rows: int = 64, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded size; a longer text is alone."""
+    low = held = 0
+    for i, n in enumerate(sizes):
+        if i > low and (i - low >= rows or held + n > chars):
+            yield low, i
+            low, held = i, 0
+        held += n
+    if low < len(sizes):
+        yield low, len(sizes)
 
 
 def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
@@ -71,13 +95,15 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = WordCache(path), np.array([end], "<u4").tobytes()
+        cache, last = word_cache(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             at: list[int] = []
             out: list[list] = [[] for _ in fields]
             held = 0
-            for i, text in enumerate(batch.column(1)):
-                ids = cache.encoded(text.as_py() or "") + last
+            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
+            encoded = (x for low, high in _groups(sizes) for x in cache.encoded([t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]))
+            for i, ids in enumerate(encoded):
+                ids += last
                 n = len(ids) // 4
                 first = n % length or length
                 edges = [0, *range(first, n + 1, length)]
