@@ -169,6 +169,27 @@ def cropped(image: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return image[y0:y1, x0:x1]
 
 
+def blurred(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    r = int(3 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    k /= k.sum()
+    for axis in (0, 1):
+        pad = np.pad(x, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        x = sum(w * np.take(pad, np.arange(i, i + x.shape[axis]), axis) for i, w in enumerate(k))
+    return x
+
+
+def without_background(rgb: np.ndarray, outline: np.ndarray, fine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The image on white, and the mask of its pixels: the fine mask within the widened outline, without sky, softened at the edge."""
+    mask = dilate(outline, 9) & (outline if fine is None else fine) & ~sky(rgb)
+    alpha = blurred(mask.astype(float))[..., None]
+    return np.rint(rgb * alpha + 255 * (1 - alpha)).clip(0, 255).astype(np.uint8), mask
+
+
+def overlay(rgb: np.ndarray, mask: np.ndarray, tint: tuple[int, int, int] = (255, 0, 0), share: float = 0.4) -> np.ndarray:
+    return np.where(mask[..., None], (1 - share) * rgb + share * np.array(tint), rgb).astype(np.uint8)
+
+
 # Colour.
 
 

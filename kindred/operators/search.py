@@ -54,6 +54,12 @@ def per_set(space: FeatureSpace, results: DataFrame) -> DataFrame:
     return results.select("rank", space.id_col, F.explode(F.array(*rows)).alias("x")).select("rank", space.id_col, "x.*")
 
 
+def results_table(space: FeatureSpace, results: DataFrame, places: int = 4) -> DataFrame:
+    """A row per result with its distance, similarity and each set's norm, rounded."""
+    norms = [F.round(F.col(f"raw_{s}") / space.scales[s], places).alias(s) for s in space.sets if f"raw_{s}" in results.columns]
+    return results.select("rank", space.id_col, F.round("similarity", places).alias("similarity"), F.round("distance", places).alias("distance"), *norms)
+
+
 def explain_text(space: FeatureSpace, results: DataFrame) -> DataFrame:
     """One text line per result."""
     parts = [F.format_string(f"%s {s}=%.4f", F.lit(""), F.col(f"raw_{s}") / space.scales[s]) for s in space.sets if f"raw_{s}" in results.columns]

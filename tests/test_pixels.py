@@ -72,6 +72,15 @@ def test_masks():
     assert P.dilate(P.erode(np.ones((9, 9), bool))).all()
 
 
+def test_background():
+    x = plain((60, 90, 20))
+    m = np.zeros((32, 32), bool)
+    m[8:24, 8:24] = True
+    out, mask = P.without_background(x, m)
+    assert out[0, 0].tolist() == [255] * 3 and out[16, 16].tolist() == [60, 90, 20] and (mask == m).all()
+    assert (P.overlay(x, m)[0, 0] == x[0, 0]).all()
+
+
 def test_hash():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 255, (64, 64, 3)).astype(np.uint8)

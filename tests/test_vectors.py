@@ -57,6 +57,7 @@ def test_space_and_search(spark):
     assert search.top_k(s, {"a": [2.0, 1.0]}, filters={"license": [""]}).first()["image_id"] == 3
     assert search.top_k(s, {"a": [2.0, 1.0]}, filters={"genus": ["none"]}).count() == 0
     assert search.per_set(s, search.top_k(s, {"a": [2.0, 1.0]})).count() == 5
+    assert set(search.results_table(s, search.top_k(s, {"a": [2.0, 1.0]})).columns) == {"rank", "image_id", "similarity", "distance", "a"}
     assert "sim=" in search.explain_text(s, search.top_k(s, {"a": [2.0, 1.0]})).first()["line"]
     with pytest.raises(ValueError):
         space.FeatureSpace(s.items, {"absent": "l1"})
