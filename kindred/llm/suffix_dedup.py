@@ -390,8 +390,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A byte goes if a string of `length` bytes covers it that also starts earlier, in a document with a smaller
     id or in the same document. Null texts are empty. Rows that repeat an id are documents of their own, in the order of their
-    texts; a null id comes last. No rows: no rows.
+    texts; a null id comes last. No rows: no rows. Columns of docs that have the names of added ones are replaced.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "kept_text", "__doc")
     rows, own = numbered(docs, id_col, text_col)
     cut = _cut(rows, length, gram, crowd).withColumnRenamed("doc", "__doc")
     base = own if own is not None else docs.withColumn("__doc", F.col(id_col).cast("long"))
