@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Java / RE2 class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
+#: Removes the shuffle files of a query when it ends.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -28,10 +30,18 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the scratch folder and reads it again: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Writes df as Parquet in the scratch folder and reads it again: cuts lineage and survives lost executors.
+
+    Shuffle files of the job have served once the table is written, so Spark is told to remove them then.
+    """
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
+    return spark.read.schema(schema).parquet(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -6,9 +6,11 @@ so with k blocks, more than the greatest difference in a band of sizes, similar
 k - d blocks or more. Blocks are very wide and sparse, so each is kept as the XOR of 64-bit names of its set bits.
 Equal blocks under one scheme meet in a bucket.
 
-Candidates are tested from pivots: in every bucket its first document against those that are not yet in the
-same component, then the second, and so on until no bucket holds two components with untested pairs. A
-group of n near copies thus costs about n tests. What is tested is compared shingle by shingle.
+First the others of a bucket are tested against its first, which links most of a group of near copies
+with as many tests as it has members. Only buckets that still hold two components or more go on. Of small ones
+the pairs across components are tested. Members of large ones meet in blocks of bounded size with narrower parity sketches, whose
+Hamming distance rules out nearly all pairs that aren't linked; of two components the nearest pairs are tested first, and more
+in each round until no pair is left that could join two components. What is tested is compared shingle by shingle.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,10 +32,12 @@ from .components import components
 SHINGLE = 3
 #: Similarity in hundredths.
 PERCENT = 90
-#: Blocks with so few shingles or fewer agree by chance.
-WEAK = 2
-#: Documents whose shingles are held at once.
-CHUNK = 500
+#: Members of a bucket up to which pairs are tested one by one.
+SMALL = 8
+#: Documents in a block of a large bucket, and bits of their sketches.
+BLOCK_ROWS, BITS = 1024, 2048
+#: Documents, and characters, whose shingles are held at once (a longer text is alone).
+CHUNK, CHUNK_CHARS = 500, 2_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +46,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, names: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
+class Names(dict):
+    """A cache of word hashes that starts anew when it is large."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def trim(self) -> None:
+        if len(self) > 1_000_000:
+            self.clear()
+
+
+def shingle_set(text: str | None, names: Names, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit names of the distinct shingles; A-Z lower-cased, words parted by ASCII white space.
 
     Texts of fewer words than a shingle have one shingle, the whole; texts without words have none. names: a cache.
@@ -49,8 +66,6 @@ def shingle_set(text: str | None, names: dict[bytes, int], size: int = SHINGLE)
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    for w in set(words).difference(names):
-        names[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(names.__getitem__, words), np.uint64, len(words))
     width = min(size, len(h))
     out = h[: len(h) - width + 1] + np.uint64(width)
@@ -59,14 +74,6 @@ def shingle_set(text: str | None, names: dict[bytes, int], size: int = SHINGLE)
     return np.unique(_mix(out))
 
 
-class Names(dict):
-    """A cache of word hashes that starts anew when it is large."""
-
-    def trim(self) -> None:
-        if len(self) > 1_000_000:
-            self.clear()
-
-
 @functools.cache
 def bands(percent: int, most: int) -> np.ndarray:
     """Least sizes of the bands up to that of `most`; similar sets lie in one band or in neighbours."""
@@ -76,11 +83,18 @@ def bands(percent: int, most: int) -> np.ndarray:
     return np.array(out)
 
 
-def scheme(percent: int, top: int) -> tuple[int, int]:
-    """Blocks, and blocks beyond what must agree, for sets of which the smaller has up to `top` shingles."""
+def scheme(percent: int, top: int) -> tuple[int, int, int]:
+    """Blocks, blocks beyond what must agree, and the shingles up to which a block is weak, where the smaller set has up to `top`.
+
+    Weak blocks agree by chance. Sets that have no more of them than the spare ones don't need theirs, as similar sets
+    agree in a block that isn't weak, too.
+    """
     d = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = -(-(d + 1) // 8) if d else 0
-    return d + 1 + spare, spare
+    if not d:
+        return 1, 0, 0
+    part, weak = (8, 2) if top >= 7 * d else (3, 1)
+    spare = -(-(d + 1) // part)
+    return d + 1 + spare, spare, weak
 
 
 def _band_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +116,7 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         plans = {b: scheme(percent, int(edges[b + 1]) - 1) for b in set(own.tolist()) if b >= 0}
         k = np.array([plans[b][0] if b >= 0 else 0 for b in own])
         spare = np.array([plans[b][1] if b >= 0 else 0 for b in own])
+        few = np.array([plans[b][2] if b >= 0 else 0 for b in own])
         base = np.cumsum(k) - k
         live = np.repeat(k > 0, n)
         which = np.repeat(np.arange(len(n)), n)[live]
@@ -116,7 +131,7 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         sketch = np.zeros(len(count), np.uint64)
         sketch[full] = np.bitwise_xor.reduceat(_mix(h[order] + np.uint64(0x51)), at[full])
         owner = np.repeat(np.arange(len(n)), k)
-        weak = count <= WEAK
+        weak = count <= few[owner]
         many = np.bincount(owner[weak], minlength=len(n)) > spare
         emit = ~weak | many[owner]
         number = np.arange(len(count)) - base[owner]
@@ -126,19 +141,31 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(which_out), np.concatenate(key_out)
 
 
+def _chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    out, held = [], 0
+    for i in order:
+        if out and (len(out) >= CHUNK or held + sizes[i] > CHUNK_CHARS):
+            yield out
+            out, held = [], 0
+        out.append(i)
+        held += sizes[i]
+    if out:
+        yield out
+
+
 def _sketched(size: int, percent: int):
-    """(doc, n, rep, key): a row per document with its representative among equal sets of the batch, and rows of keys."""
+    """(doc, n, rep, key): a row per document with its representative among equal sets of the batch, and rows of keys, without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             first: dict[bytes, int] = {}
-            order = sorted(range(len(docs)), key=docs.__getitem__)
-            for low in range(0, len(order), CHUNK):
+            sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+            for chunk in _chunks(sorted(range(len(docs)), key=docs.__getitem__), sizes):
                 own, sets = [], []
                 out: list[list] = [[], [], []]
-                for i in order[low : low + CHUNK]:
+                for i in chunk:
                     s = shingle_set(texts[i].as_py(), names, size)
                     rep = docs[i]
                     if len(s):
@@ -149,11 +176,11 @@ def _sketched(size: int, percent: int):
                     for column, value in zip(out, (docs[i], len(s), rep), strict=True):
                         column.append(value)
                 names.trim()
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out] + [pa.nulls(len(out[0]), pa.int64())], ["doc", "n", "rep", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out] + [pa.array(_mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64))], ["doc", "n", "rep", "key"])
                 which, key = block_keys(sets, percent) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 if len(which):
                     doc, n = np.array(own, np.int64)[which], np.array([len(s) for s in sets], np.int64)[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(doc), pa.array(key.view(np.int64))], ["doc", "n", "rep", "key"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.nulls(len(doc), pa.int64()), pa.array(key.view(np.int64))], ["doc", "n", "rep", "key"])
 
     return run
 
@@ -193,46 +220,119 @@ def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(_verified(size, percent), "a long, b long, linked boolean")
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A sketch of BITS bits, of which each shingle flips one: two sets differ in as many shingles as their sketches in bits, or more."""
+    return np.packbits(np.bincount((_mix(s + np.uint64(0x77)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
+def _parities(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names()
+        for batch in batches:
+            out = []
+            for x in batch.column(1):
+                out.append(parity(shingle_set(x.as_py(), names, size)))
+                names.trim()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "sketch"])
+
+    return run
+
+
+def candidates_across(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int, most: int, cut: int = 0) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs (places) of different labels whose sketches and sizes allow a link: of two labels the `most` pairs of least
+    distance, and whether there are more. cut > 0: only pairs of one before and one from place `cut`. sketches: rows of 64-bit words."""
+    found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    m = len(n)
+    for low in range(0, cut or m, 32):
+        high = min(cut or m, low + 32)
+        since = cut or low + 1
+        far = np.bitwise_count(sketches[low:high, None, :] ^ sketches[None, since:, :]).sum(2, dtype=np.int64)
+        sums = n[low:high, None] + n[None, since:]
+        ok = (far * (100 + percent) <= sums * (100 - percent)) & (labels[low:high, None] != labels[None, since:])
+        ok &= np.minimum(n[low:high, None], n[None, since:]) * 100 >= np.maximum(n[low:high, None], n[None, since:]) * percent
+        for i, j in zip(*np.nonzero(ok), strict=True):
+            x, y = low + int(i), since + int(j)
+            if x < y:
+                pair = (int(labels[x]), int(labels[y]))
+                found.setdefault((min(pair), max(pair)), []).append((int(far[i, j]), x, y))
+    out = [(x, y) for v in found.values() for _, x, y in sorted(v)[:most]]
+    return out, any(len(v) > most for v in found.values())
+
+
+def _crossed(percent: int, most: int):
+    """Rows of blocks (key, x, y, block, doc, n, component, sketch) in order: candidate pairs; nulls where there are more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at = None
+
+        def pairs() -> pa.RecordBatch:
+            cut = sum(r[0] == at[1] for r in held) if at[1] != at[2] else 0
+            found, more = [], False
+            if len(held) > 1 and cut < len(held):
+                sketches = np.frombuffer(b"".join(r[4] for r in held), np.uint64).reshape(len(held), -1)
+                found, more = candidates_across(sketches, np.array([r[2] for r in held]), np.array([r[3] for r in held]), percent, most, cut)
+            ends = [sorted((held[i][1], held[j][1])) for i, j in found] + [[None, None]] * more
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, x, y) != at:
+                    if held:
+                        yield pairs()
+                    held, at = [], (key, x, y)
+                held.append(tuple(row))
+        if held:
+            yield pairs()
+
+    return run
+
+
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc (unique), text. doc, n, rep of all; node, component of representatives that have links."""
     sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long")
-    # rows of documents go through the same shuffle under keys of their own
-    keyed = sketched.withColumn("at", F.coalesce("key", F.xxhash64("doc")))
-    bucket = Window.partitionBy("at", F.col("key").isNull())
-    found = keyed.withColumn("place", F.row_number().over(bucket.orderBy("doc"))).withColumn("many", F.count(F.lit(1)).over(bucket)).withColumn("first", F.min("doc").over(bucket))
-    found = materialise(found.filter("key is null or many > 1").select("doc", "n", "rep", "key", "place", "first"), "jaccard-found")
-    base = found.filter("key is null").select("doc", "n", "rep")
-    members = found.filter("key is not null").select("key", "doc", "n", "place", "first")
+    # rows of documents go through the same shuffle under keys of their own; both windows have one order, so there is one sort
+    bucket = Window.partitionBy("key", "base")
+    keyed = sketched.withColumn("base", F.col("rep").isNotNull())
+    found = keyed.select("*", F.count(F.lit(1)).over(bucket).alias("many"), F.min(F.struct("doc", "n")).over(bucket).alias("first"))
+    found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.col("first.n").alias("n1")), "jaccard-found")
+    base = found.filter("rep is not null").select("doc", "n", "rep")
+    members = found.filter("rep is null").select("key", "doc", "n", "first", "n1")
     sized = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
     texts = materialise(rows.join(members.select("doc").distinct(), "doc"), "jaccard-texts")
-    firsts = members.filter("place = 1").select("key", F.col("n").alias("n1"))
-    pairs = members.filter("place > 1").join(firsts, "key").filter(sized(F.col("n"), F.col("n1"))).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = members.filter((F.col("doc") != F.col("first")) & sized(F.col("n"), F.col("n1"))).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     tested = materialise(_tested(pairs, texts, size, percent), "jaccard-tested")
-    place, budget = 1, None
+    links = tested.filter("linked").select("a", "b")
+    labels = components(links, "jaccard-components")
+    by = Window.partitionBy("key")
+    left = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    left = left.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("m", F.count(F.lit(1)).over(by))
+    left = materialise(left.filter("low < high").drop("low", "high"), "jaccard-left")
+    small = left.filter(F.col("m") <= SMALL)
+    other = small.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    pairs = small.join(other, "key").filter((F.col("doc") < F.col("b")) & (F.col("cb") != F.col("component")) & sized(F.col("n"), F.col("nb")))
+    pairs = pairs.select(F.col("doc").alias("a"), "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    tested = materialise(tested.unionByName(_tested(pairs, texts, size, percent)), "jaccard-tested")
+    labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
+    # large buckets: every two blocks of one meet
+    large = left.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    sketches = texts.join(large.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_parities(size), "doc long, sketch binary")
+    large = materialise(large.select("key", "doc", "n", "blocks", "block").join(sketches, "doc"), "jaccard-large")
+    most = 4
     while True:
-        links = tested.filter("linked").select("a", "b")
-        labels = components(links, "jaccard-components")
-        known = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "place", F.coalesce("component", "doc").alias("component"))
-        left = known.filter(F.col("place") > place)
-        by = Window.partitionBy("key")
-        left = materialise(left.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).filter("low < high").drop("low", "high"), "jaccard-left")
-        sizes = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("same"))
-        across = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
-        if not across:
+        now = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        now = now.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "n", F.coalesce("component", "doc").alias("component"), "sketch")
+        now = now.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
+        found = materialise(now.mapInArrow(_crossed(percent, most), "a long, b long").distinct(), "jaccard-candidates")
+        more = found.filter("a is null").limit(1).count()
+        new = materialise(found.filter("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-new")
+        if new.limit(1).count():
+            tested = materialise(tested.unionByName(_tested(new, texts, size, percent)), "jaccard-tested")
+            labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
+        elif not more:
             return base, labels
-        if budget is None:
-            budget = base.count()
-        other = left.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        # no more pairs than documents are taken at once; of more, those of the next pivot of each bucket
-        pivots = left if across <= budget else left.withColumn("least", F.min("place").over(by)).filter("place = least")
-        pairs = pivots.join(other, "key").filter((F.col("pb") > F.col("place")) & (F.col("cb") != F.col("component")) & sized(F.col("n"), F.col("nb")))
-        pairs = pairs.select(F.col("doc").alias("a"), "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialise(_tested(pairs, texts, size, percent), "jaccard-tested")
-        done = across <= budget
-        tested = materialise(tested.unionByName(new), "jaccard-all")
-        if done:
-            return base, components(tested.filter("linked").select("a", "b"), "jaccard-components")
-        place += 1
+        most *= 4
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
