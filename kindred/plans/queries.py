@@ -382,31 +382,24 @@ _DEEP = M.sql_distance("cosine", "x.deep", "y.deep")
 _PAIRS = f"{M.BASE}, s AS (SELECT * FROM f WHERE image_id < 250), pw AS (SELECT x.image_id AS a, y.image_id AS b, x.genus AS ga, y.genus AS gb, x.author AS aa, y.author AS ab, {_DEEP} AS d FROM s x, s y WHERE x.image_id <> y.image_id)"
 
 
-def _pairs(spark, d):
-    """Labelled sample: the first 250 items, as pair matrices are made of labelled rows only."""
-    rows = M.items(spark, d).filter("image_id < 250")
-    return rows, analysis.pair_distances(rows, "deep", "cosine", "image_id", "genus")
-
-
 @query("sep_ratio", f"WITH {_PAIRS}, q AS (SELECT avg(d) FILTER (WHERE ga = gb) AS intra, avg(d) FILTER (WHERE ga <> gb) AS inter FROM pw) SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(inter / greatest(intra, 1e-9), 6) AS sep_ratio FROM q")
 def sep_ratio(spark, d):
-    return analysis.separation(_pairs(spark, d)[1]).select(rnd("intra"), rnd("inter"), rnd("sep_ratio"))
+    return analysis.cosine_separation(M.items(spark, d), "deep", "genus").select(rnd("intra"), rnd("inter"), rnd("sep_ratio"))
 
 
 @query("nn1_accuracy", f"WITH {_PAIRS}, k AS (SELECT a, ga, arg_min(gb, (d, b)) AS gb FROM pw GROUP BY a, ga) SELECT round(avg((ga = gb)::INT), 6) AS nn1_acc FROM k")
 def nn1_accuracy(spark, d):
-    return analysis.nearest_accuracy(_pairs(spark, d)[1]).select(rnd("nn1_acc"))
+    return analysis.nearest_label_accuracy(M.items(spark, d), "deep", "cosine", "image_id", "genus").select(rnd("nn1_acc"))
 
 
 @query("medoid", f"WITH {_PAIRS}, m AS (SELECT ga, a, round(avg(d), 9) AS d FROM pw WHERE ga = gb GROUP BY ga, a) SELECT ga AS genus, arg_min(a, (d, a)) AS medoid, round(min(d), 6) AS mean_d FROM m GROUP BY ga")
 def medoid(spark, d):
-    return analysis.medoids(_pairs(spark, d)[1]).select("genus", "medoid", rnd("mean_d"))
+    return analysis.cosine_medoids(M.items(spark, d), "deep", "image_id", "genus").select("genus", "medoid", rnd("mean_d"))
 
 
 @query("closest_pair", f"WITH {_PAIRS}, m AS (SELECT ga, a, b, round(d, 9) AS d FROM pw WHERE ga = gb AND a < b AND aa <> ab) SELECT ga AS genus, arg_min(a, (d, a, b)) AS a, arg_min(b, (d, a, b)) AS b, round(min(d), 6) AS d FROM m GROUP BY ga")
 def closest_pair(spark, d):
-    rows, pairs = _pairs(spark, d)
-    return analysis.closest_pair(pairs, rows, "image_id", "author").select("genus", "a", "b", rnd("d"))
+    return analysis.closest_pair_of_all(M.items(spark, d), "deep", "cosine", "image_id", "genus", "author").select("genus", "a", "b", rnd("d"))
 
 
 @query("chance_level", "WITH c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label) SELECT round(sum(power(c, 2)) / power(sum(c), 2), 6) AS chance FROM c")
