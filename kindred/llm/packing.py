@@ -27,8 +27,8 @@ from .common import materialise, read
 
 LENGTH = 1024
 END = 2
-#: Tokens by which the linear program rounds lengths up.
-UNIT = 4
+#: Tokens by which the linear program rounds lengths up; more than 1 leaves gaps that it doesn't see.
+UNIT = 1
 #: Cached words of the tokeniser in one task.
 CACHE = 1_000_000
 
@@ -127,19 +127,14 @@ def _knapsack(values: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
 
     A dynamic program over capacities with unlimited copies; copies beyond `most` are then dropped.
     """
-    sizes = np.flatnonzero(values) + 1
-    if not len(sizes):
+    if not values.any():
         return []
-    v = values[sizes - 1]
+    worth = np.where(values > 0, values, -np.inf)
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        k = np.searchsorted(sizes, c, "right")
-        best[c], choice[c] = best[c - 1], 0
-        if k:
-            gain = best[c - sizes[:k]] + v[:k]
-            i = int(gain.argmax())
-            if gain[i] > best[c]:
-                best[c], choice[c] = gain[i], sizes[i]
+        gain = best[c - 1 :: -1][: len(worth)] + worth[:c]
+        i = int(gain.argmax())
+        best[c], choice[c] = (gain[i], i + 1) if gain[i] > best[c - 1] else (best[c - 1], 0)
     out, c, used = [], capacity, {}
     while c > 0:
         s = int(choice[c])
@@ -251,13 +246,14 @@ def _best_fit(groups: dict[tuple[int, ...], int], left: dict[int, int], length:
         m = left[n]
         for gap in sorted(g for g in by_gap if g >= n):
             for key in sorted(by_gap[gap]):
-                if not m:
-                    break
-                fit = min(m, by_gap[gap][key])
-                new = by_gap.setdefault(gap - n, {})
-                new[(*key, n)] = new.get((*key, n), 0) + fit
-                by_gap[gap][key] -= fit
-                m -= fit
+                # a sequence takes pieces until the length no longer fits; the last one may get fewer
+                while m and by_gap[gap].get(key):
+                    each = min(gap // n, m)
+                    fit = min(m // each, by_gap[gap][key])
+                    new, filled = by_gap.setdefault(gap - each * n, {}), key + (n,) * each
+                    new[filled] = new.get(filled, 0) + fit
+                    by_gap[gap][key] -= fit
+                    m -= fit * each
                 if not by_gap[gap][key]:
                     del by_gap[gap][key]
         while m:

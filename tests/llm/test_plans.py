@@ -207,3 +207,15 @@ def test_plans_hold_every_piece_once(seed):
             held[n] += m
     assert held == Counter(histogram)
     assert sum(m for _, m in plan) <= 1.02 * sum(n * m for n, m in histogram.items()) / 1024 + 2
+
+
+@pytest.mark.parametrize(("histogram", "most"), [({1: 100_000}, 98), ({5: 50_000}, 248), ({9: 50_000}, 445), ({600: 3000, 200: 6000}, 3000), ({600: 10, 200: 15}, 10)])
+def test_plans_fill_gaps(histogram, most):
+    plan = packing.plan_packing(histogram)
+    held = Counter()
+    for lengths, m in plan:
+        assert sum(lengths) <= 1024
+        for n in lengths:
+            held[n] += m
+    assert held == Counter(histogram)
+    assert sum(m for _, m in plan) <= most
