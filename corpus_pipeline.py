@@ -14,16 +14,18 @@ from kindred.llm import common, jaccard_join, mixing, packing, quality, suffix_d
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned list reject go."""
-    verdicts = quality.judge_quality(docs, common.read(spark, sf_dir, "labels")).filter("kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """Documents that the base rules or the learned list reject go. The verdict is each row's own, also where ids repeat or are null."""
+    labels = common.read(spark, sf_dir, "labels")
+    _, own = common.numbered(docs, "doc_id", "text")
+    rows, row = (docs, "doc_id") if own is None else (own, "__doc")
+    verdicts = quality.judge_quality(rows, labels, keep=() if own is None else (row,)).filter("kept").select(F.col(row).alias("__id"))
+    kept = rows.join(verdicts, rows[row] == F.col("__id"), "left_semi")
+    return kept if own is None else kept.drop(row)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles, directly or through others, that with the smallest id stays."""
-    groups = jaccard_join.jaccard_components(docs, size=5, percent=80)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """Of documents linked by 0.8 of their five-word shingles, directly or through others, that with the smallest id stays; one of rows that share it."""
+    return jaccard_join.first_of_components(docs, size=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Java / RE2 class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
@@ -76,6 +77,6 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     if kind in ("tinyint", "smallint", "int", "bigint") and not keys.limit(1).count():
         return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), None
     ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
-    schema = docs.schema.add("__doc", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__doc", T.LongType())])
     out = materialise(docs.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "numbered")
     return out.select(F.col("__doc").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), out

@@ -352,6 +352,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select(id_col, "n_shingles", "component_id")
 
 
+def first_of_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of each of jaccard_components' groups the first row alone, so of rows that share an id, or have none, no more than links allow."""
+    rows, own = numbered(docs, id_col, text_col)
+    base, labels = _linked(rows, size, percent)
+    out = base.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    first = out.filter(F.col("doc") == F.coalesce("component", "rep")).select(F.col("doc").alias("__first"))
+    if own is None:
+        return docs.join(first, docs[id_col] == F.col("__first"), "left_semi")
+    return own.join(first, own["__doc"] == F.col("__first"), "left_semi").drop("__doc")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 

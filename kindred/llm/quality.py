@@ -24,21 +24,22 @@ WINDOW = 8
 MAX_LABELLED = 20_000
 
 
-def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the columns BASE, and the ratios that rules may test (FEATURES).
+def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns BASE, and the ratios that rules may test (FEATURES); and columns of docs to keep, as numbers of rows.
 
     Null and empty texts, and texts of white space, have 0 everywhere. Rows that repeat an id or a text are counted
     alike. Windows are told apart by 64-bit hashes within one text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    df = df.select("doc_id", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.split("t", "\n").alias("lines"))
+    df = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("t"))
+    df = df.select("doc_id", *keep, "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.split("t", "\n").alias("lines"))
     df = df.withColumn("lines", F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("w")
     window = lambda i: F.xxhash64(*[F.get(F.col("w"), (i + k).cast("int")) for k in range(WINDOW)])
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>"))
     df = df.select(
         "doc_id",
+        *keep,
         n.cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -58,7 +59,7 @@ def text_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "word_chars"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words"),
         "upper_ratio": per("n_upper", "word_chars"), "digit_ratio": per("n_digits", "word_chars"), "mark_ratio": per("n_marks", "n_words"), "diversity": F.when(F.col("n_words") > 1, F.log(F.col("n_distinct").cast("double")) / F.log(F.col("n_words").cast("double"))).otherwise(F.lit(1.0)), "short_ratio": per("n_short", "n_words"), "line_words": per("n_words", "n_lines"),
     }
-    return df.select("doc_id", *BASE, *[v.alias(k) for k, v in ratios.items()])
+    return df.select("doc_id", *keep, *BASE, *[v.alias(k) for k, v in ratios.items()])
 
 
 FEATURES = ("word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "diversity", "short_ratio", "line_words")
@@ -167,9 +168,9 @@ def kept(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Statistics of every document, base_failed, and kept: the verdict of base rules and learned list. No rows: no rows."""
-    statistics = materialise(text_statistics(docs, id_col=id_col, text_col=text_col), "quality")
+def judge_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Statistics of every document (with columns to keep), base_failed, and kept: the verdict of base rules and learned list. No rows: no rows."""
+    statistics = materialise(text_statistics(docs, id_col=id_col, text_col=text_col, keep=keep), "quality")
     rules = fit_rules(statistics, labels, **options)
     return statistics.withColumn("base_failed", base_failed()).withColumn("kept", kept(rules))
 

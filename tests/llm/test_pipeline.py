@@ -32,3 +32,19 @@ def test_stages_against_brute_force(spark, tmp_path):
     five = P.packed_sequences(spark, four, d).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in five}) == len(five) and max(r["offset"] + r["length"] for r in five) <= 1024
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None and quality.BASE
+
+
+def test_verdicts_are_of_rows(spark, tmp_path):
+    """Rows that repeat an id, and several null ids, stay or go one by one."""
+    d = str(tmp_path)
+    text = lambda x, n=80: " ".join(f"w{x}y{k}" for k in range(n))
+    junk = " ".join(f"j{k}***" for k in range(5))
+    data = [(7, text(7)), (7, text(7)), (8, text(8)), (8, text(9)), (9, text(10)), (9, junk), (None, text(11)), (None, text(8) + " tail"), (None, text(11)), (None, None), (None, junk)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(8, 1)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    flat = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()), key=str)
+    one = common.materialise(P.quality_rules(spark, docs, d), "t")
+    assert flat(one) == sorted([(i or 0, t) for i, t in data if t and t != junk], key=str)
+    two = P.near_duplicates(spark, one, d)
+    assert flat(two) == sorted([(7, text(7)), (8, text(8)), (8, text(9)), (9, text(10)), (0, text(11))], key=str)
+    assert docs.columns == one.columns == two.columns
