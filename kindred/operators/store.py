@@ -52,7 +52,7 @@ def latest_wins(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 def replace_partition(old: DataFrame, new: DataFrame, column: str) -> DataFrame:
     """old without the partitions that new has, and new."""
-    return old.join(F.broadcast(new.select(column).distinct().limit(100_000)), column, "left_anti").unionByName(new)
+    return old.join(new.select(column).distinct(), column, "left_anti").unionByName(new)
 
 
 def write_partitions(df: DataFrame, path: str, column: str) -> None:

@@ -75,3 +75,10 @@ def test_stream_upsert(spark, tmp_path):
 def test_windowed_counts(spark):
     e = spark.createDataFrame([("2024-01-01 00:10:00", "v", 1.0), ("2024-01-01 00:50:00", "v", 2.0), ("2024-01-01 01:00:00", "v", 4.0)], "ts string, k string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert [(r["n"], r["value"]) for r in streaming.windowed_counts(e, "ts", "k").orderBy("start").collect()] == [(2, 3.0), (1, 4.0)]
+
+
+def test_many_partitions_are_replaced(spark):
+    old = spark.range(120_000).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    new = spark.range(5, 120_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    got = store.replace_partition(old, new, "k").groupBy("v").count().collect()
+    assert {r["v"]: r["count"] for r in got} == {0: 5, 1: 119_995}
