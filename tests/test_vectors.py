@@ -156,3 +156,11 @@ def test_upsert(spark):
     got = {r["filename"]: r for r in store.upsert_images(old, new).collect()}
     assert got["a"]["license"] == "CC0" and got["a"]["ingested_at"] is not None and got["a"]["image_id"] == 1
     assert got["b"]["ingested_at"] is None and got["c"]["image_id"] == 3
+
+
+def test_rocchio_takes_all_marks(spark):
+    rows = spark.range(120_000).select(F.col("id").alias("image_id"), F.array(F.col("id").cast("double")).alias("a"))
+    s = space.FeatureSpace(rows, {"a": "l1"}, weights={"a": 1.0})
+    marks = rows.select("image_id", (F.col("image_id") % 2 == 0).alias("relevant"))
+    good, bad = 119_998 / 2, 120_000 / 2
+    assert feedback.rocchio(s, {"a": [1.0]}, marks).first()["vector"] == pytest.approx([(1 + 0.75 * good - 0.25 * bad) / 1.5])
