@@ -28,8 +28,11 @@ from .common import read
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose text is never shown as text of the page.
-HIDDEN = "script|style|noscript|template|textarea|select|button|svg|math|iframe|object|title|video|audio|canvas"
+#: Elements whose text is never shown as text of the page and runs to their end tag, or else to the page's end.
+HIDDEN = "script|style|textarea|iframe|title"
+#: Others, which hold elements and end with their parent; only what stands before an end tag of their own is left out.
+ASIDE = frozenset("noscript template select button svg object video audio canvas".split())
+_ASIDE = re.compile(rf"<(?:{'|'.join(sorted(ASIDE))})\b", re.I)
 SECTIONS = frozenset("article main nav aside footer header form section dialog".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,6 +67,42 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def _asides(text: str) -> dict[int, int]:
+    """Where elements of ASIDE that are closed start and end. One that its parent's end, or the page's, cuts off isn't among them."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+
+    def pop() -> int:
+        tag, at = stack.pop()
+        held[tag] -= 1
+        return at
+
+    for m in _TOKEN.finditer(text):
+        tag = (m["tag"] or "").lower()
+        if tag not in ASIDE and tag not in BLOCKS or tag in VOID:
+            continue
+        if m["end"]:
+            if held[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                at = pop()
+                if tag in ASIDE:
+                    out[at] = m.end()
+        elif not m["rest"].endswith("/"):
+            if tag in BLOCKS and stack and stack[-1][0] == "p":
+                pop()
+            if tag in ("button", "select") and held[tag]:  # these don't nest
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+            stack.append((tag, m.start()))
+            held[tag] += 1
+        elif tag in ASIDE:
+            out[m.start()] = m.end()
+    return out
+
+
 def parse(text: str) -> Page:
     """Block elements in page order, each after its parent, and the page's blocks of text with the node they stand in.
 
@@ -85,13 +124,16 @@ def parse(text: str) -> Page:
         run, linked = [], []
 
     at = 0
+    asides = _asides(text) if _ASIDE.search(text) else {}
     for m in _TOKEN.finditer(text):
+        if m.start() < at:  # in an element that is left out
+            continue
         if m.start() > at:
             piece = text[at : m.start()]
             run.append(piece)
             if in_link:
                 linked.append(piece)
-        at = m.end()
+        at = asides.get(m.start(), m.end())
         tag = m["tag"]
         if tag is None:
             continue

@@ -46,3 +46,16 @@ def test_extract(spark):
     assert got[1]["text"] == "Title here\nFirst é part, of it.\nSecond part is longer than the first one was." and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[None]["n_chars"] == 0
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+def test_elements_left_open_cut_nothing():
+    blocks = lambda x: [b for _, b in H.parse(x).blocks]
+    for tag in "noscript template select button svg object video audio canvas".split():
+        assert blocks(f"<article><p>one</p><{tag}>two<p>three</p></article><p>four") == ["one", "two", "three", "four"]
+        assert blocks(f"<div>one <{tag} a='>'>two<p>three</p></{tag}> four</div>five") == ["one four", "five"]
+        assert blocks(f"<p>one<{tag}/> two") == ["one two"]
+    assert blocks("<div>a<object>b<object>c</object>d</object>e</div>") == ["ae"]
+    assert blocks("<div><button>a<p>b</p><button>c</button>d</div><svg><text>e</text></svg>") == ["a", "b", "d"]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
+    assert blocks("<p>a<script>if (x) { '<button>' }</script>b<p>c<style>d") == ["ab", "c"]
+    assert len(blocks("<svg>" * 20000 + "<p>x")) == 1
