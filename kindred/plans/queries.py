@@ -283,7 +283,7 @@ def pca_knn_recall(spark, d):
 @query("kmeans_objective")
 def kmeans_objective(spark, d):
     rows = M.items(spark, d).withColumn("v", F.concat(*M.SLICES))
-    fit = index.fit_kmeans(rows, "v", restarts=3)
+    fit = index.fit_kmeans(rows, "v")
     return spark.createDataFrame([(i, int(n)) for i, n in enumerate(fit.summary.clusterSizes)], "cluster_id int, size long").withColumn("inertia", F.lit(float(fit.summary.trainingCost)))
 
 

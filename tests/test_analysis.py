@@ -39,3 +39,13 @@ def test_pair_queries_of_few_rows(spark):
         assert analysis.nearest_label_accuracy(few, "deep", "cosine", "image_id", "genus").first()["nn1_acc"] is None
         assert not analysis.cosine_medoids(few, "deep", "image_id", "genus").count()
         assert not analysis.closest_pair_of_all(few, "deep", "cosine", "image_id", "genus", "author").count()
+
+
+def test_kmeans_takes_all_restarts(spark, folder, monkeypatch):
+    import inspect
+
+    fit, asked = queries.index.fit_kmeans, []
+    monkeypatch.setattr(queries.index, "fit_kmeans", lambda *a, **b: asked.append(inspect.signature(fit).bind(*a, **b)) or fit(*a, **b))
+    assert sum(r["size"] for r in queries.kmeans_objective(spark, folder).collect()) == 324
+    asked[0].apply_defaults()
+    assert asked[0].arguments["restarts"] == 10
