@@ -62,6 +62,17 @@ def cluster_order(centroids: DataFrame, sizes: DataFrame, q: Column, n: int, lea
     return ranked.filter((F.col("before") < n) | (F.col("visit") <= least)).select("cluster_id", "visit", "size", "before")
 
 
+def visited_clusters(assigned: DataFrame, model: KMeansModel, vector: str, n: int, id_col: str = "image_id", least: int = KMEANS_MIN_CLUSTERS) -> DataFrame:
+    """qid, cluster_id: cluster_order() for every row of assigned (id, vector, cluster_id)."""
+    spark = assigned.sparkSession
+    centers = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster_id int, center array<double>")
+    centers = centers.join(cluster_sizes(assigned, len(model.clusterCenters())), "cluster_id")
+    by = Window.partitionBy("qid").orderBy("centroid_distance", "cluster_id")
+    ranked = assigned.select(F.col(id_col).alias("qid"), F.col(vector).alias("q")).crossJoin(F.broadcast(centers)).select("qid", "cluster_id", "size", V.l2(F.col("center"), F.col("q")).alias("centroid_distance"))  # a row per cluster
+    ranked = ranked.withColumn("visit", F.row_number().over(by)).withColumn("before", F.coalesce(F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranked.filter((F.col("before") < n) | (F.col("visit") <= least)).select("qid", "cluster_id")
+
+
 def cluster_candidates(items: DataFrame, visited: DataFrame) -> DataFrame:
     """All rows of the visited clusters; a broadcast join with a row per visited cluster (the number of clusters is a parameter)."""
     return items.join(F.broadcast(visited.select("cluster_id", "visit")), "cluster_id")

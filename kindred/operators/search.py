@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -145,6 +146,43 @@ def _nearest(block: pa.Table, sets, metrics, factor, k: int, exclude_self: bool)
     return run
 
 
+def component_candidates(items: DataFrame, dims: int, n: int = CANDIDATE_POOL, id_col: str = "image_id", z: str = "z") -> DataFrame:
+    """qid, id: every row's n nearest others in the first `dims` components, what a k-d tree, R-tree or quadtree gives."""
+    cut = items.select(id_col, F.slice(z, 1, dims).alias("z"))
+    size = cut.select(F.size("z")).first()
+    plain = {"mean": [0.0] * (size[0] if size else 0), "std": [1.0] * (size[0] if size else 0)}
+    flat = FeatureSpace(cut, {"z": "l2"}, id_col, weights={"z": 1.0}, stats={"z": plain}, scales={"z": 1.0})
+    return batch_top_k(flat, cut.withColumnRenamed(id_col, "qid"), n).select("qid", "id")
+
+
+def reranked(space: FeatureSpace, candidates: DataFrame, k: int = TOP_K) -> DataFrame:
+    """qid, rank, id, distance: of each query's candidates (qid, id) the k nearest by the combined distance; ties by id."""
+    rows = space.prepared_items()
+    side = lambda key: rows.select(F.col(space.id_col).cast("long").alias(key), *[F.col(s).alias(f"{s}_{key}") for s in space.sets])
+    raw = {s: V.distance(space.metrics[s], F.col(f"{s}_id"), F.col(f"{s}_qid")) for s in space.sets}
+    near = candidates.join(side("qid"), "qid").join(side("id"), "id").select("qid", "id", space.combine(raw).alias("distance"))
+    return _first(near, k)
+
+
+def cluster_top_k(space: FeatureSpace, assigned: DataFrame, visited: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The k nearest by the combined distance among the rows of the clusters that each query visits, a cluster at a time.
+
+    assigned: id, cluster_id of all items. visited: qid, cluster_id. Rows are streamed as in batch_top_k, without a row per pair.
+    """
+    items, out = space.items.join(assigned, space.id_col), None
+    for (c,) in visited.select("cluster_id").distinct().collect():  # as many as clusters, a parameter
+        own = replace(space, items=items.filter(F.col("cluster_id") == c).drop("cluster_id"))
+        asked = space.items.withColumnRenamed(space.id_col, "qid").join(visited.filter(F.col("cluster_id") == c).select("qid"), "qid", "left_semi")
+        near = batch_top_k(own, asked, k).drop("rank")
+        out = near if out is None else out.unionByName(near)
+    return _first(items.sparkSession.createDataFrame([], "qid long, id long, distance double") if out is None else out, k)
+
+
+def _first(near: DataFrame, k: int) -> DataFrame:
+    by = Window.partitionBy("qid").orderBy(F.round("distance", TIE), "id")
+    return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+
+
 def widened_pool(ranked: DataFrame, passes: Column, top_k: int = TOP_K, excluded: int = 0, pool: int = CANDIDATE_POOL) -> DataFrame:
     """Candidates of an index under filters, without a loop. ranked: rank (1-based, by the index) and what `passes` needs.
 

@@ -333,6 +333,29 @@ def recall_at_k(spark, d):
     return evaluate.recall(found, exact).select(rnd("recall"))
 
 
+def backends(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The exact results of all rows, and those of each candidate index over the weighted embedding, re-ranked by the combined distance."""
+    space, exact = leave_one_out(spark, d)
+    rows = space.items.select("image_id", space.embedding().alias("v"))
+    z = index.project(rows, "v", index.fit_pca(rows, "v", max(index.PCA_DIMS.values()))).select("image_id", "z")
+    found = {name: search.reranked(space, search.component_candidates(z, dims)) for name, dims in index.PCA_DIMS.items()}
+    model = index.fit_kmeans(rows, "v")
+    assigned = model.transform(rows.withColumn("features", index.array_to_vector(F.col("v")))).select("image_id", "v", F.col("prediction").alias("cluster_id"))
+    visited = index.visited_clusters(assigned, model, "v", search.CANDIDATE_POOL)
+    return exact, found | {"kmeans": search.cluster_top_k(space, assigned.select("image_id", "cluster_id"), visited)}
+
+
+@query("backend_recall")
+def backend_recall(spark, d):
+    """Share of each row's exact nearest by the combined distance that each candidate index finds."""
+    exact, found = backends(spark, d)
+    out = None
+    for name, near in found.items():
+        one = evaluate.recall(near, exact).select(F.lit(name).alias("backend"), rnd("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Feedback.
 
 

@@ -49,3 +49,18 @@ def test_kmeans_takes_all_restarts(spark, folder, monkeypatch):
     assert sum(r["size"] for r in queries.kmeans_objective(spark, folder).collect()) == 324
     asked[0].apply_defaults()
     assert asked[0].arguments["restarts"] == 10
+
+
+def test_backends_rerank_their_candidates(spark, folder):
+    exact, found = queries.backends(spark, folder)
+    best = {(r["qid"], r["id"]): r["distance"] for r in exact.collect()}
+    assert set(found) == {"kdtree", "rtree", "quadtree", "kmeans"}
+    recall = {}
+    for name, near in found.items():
+        rows = near.collect()
+        assert len(rows) == 5 * 324 and all(r["qid"] != r["id"] for r in rows)
+        hits = [r for r in rows if (r["qid"], r["id"]) in best]
+        assert all(r["distance"] == pytest.approx(best[r["qid"], r["id"]], abs=1e-6) for r in hits)
+        recall[name] = len(hits) / len(best)
+    got = {r["backend"]: r["recall"] for r in queries.backend_recall(spark, folder).collect()}
+    assert got == pytest.approx(recall, abs=1e-4) and got["kdtree"] > got["quadtree"]
