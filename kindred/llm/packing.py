@@ -3,8 +3,8 @@
 Texts are tokenised and cut into pieces of at most the sequence length. The histogram of the pieces'
 lengths, a bounded table whatever the corpus, goes to the driver. There the configuration linear program (which combinations of
 lengths fill a sequence, and how often to use each) is solved by multiplicative weights: lengths not yet covered gain weight, and a
-knapsack dynamic program finds the configuration of most weight. Rounded down, the solution covers most pieces; what is left is
-solved again and last goes by best fit, into gaps first. A plan is a list of (length, ranks, first sequence, offset) ranges, so
+knapsack dynamic program finds the configurations of most weight. Rounded down, the solution places most pieces; what is left is
+solved and rounded again until nothing is. A plan is a list of (length, ranks, first sequence, offset) ranges, so
 a piece finds its place from its rank among pieces of its length, which prefix sums over buckets give.
 """
 
@@ -27,10 +27,12 @@ from .common import materialise, read
 
 LENGTH = 1024
 END = 2
-#: Tokens by which the linear program rounds lengths up; more than 1 leaves gaps that it doesn't see.
-UNIT = 1
-#: Cached words of the tokeniser in one task.
-CACHE = 1_000_000
+#: Rounds of the multiplicative weights in one solution, at least; few sizes get more.
+ROUNDS = 40
+#: Cached words of the tokeniser in one Python worker.
+CACHE = 400_000
+#: Bytes of new words that are encoded together.
+JOINED = 8000
 
 #: The tokeniser's own division of a text into words, which it never merges across.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -47,18 +49,51 @@ class WordCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # a byte is one character of a token's string
+        known = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(known.values()) + 1, np.int64)
+        for token, number in known.items():
+            self.widths[number] = len(token)
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """The ids of texts, as the tokeniser gives them without special tokens."""
         split = [self.words(t) for t in texts]
-        new = list({w for words in split if words is not None for w in words if w not in self})
+        found = [None if words is None else list(map(self.get, words)) for words in split]
+        new = list({w for words, got in zip(split, found, strict=True) if got and None in got for w, x in zip(words, got, strict=True) if x is None})
         if len(self) + len(new) > CACHE:
             self.clear()
-            new = list({w for words in split if words is not None for w in words})
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        self.learn(new)
+        out = []
+        for text, words, got in zip(texts, split, found, strict=True):
+            if got is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+            elif None in got:
+                out.append(b"".join([self[w] if x is None else x for w, x in zip(words, got, strict=True)]))
+            else:
+                out.append(b"".join(got))
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Takes up new words. Those that begin with a space begin anew wherever they stand, so many are encoded as one text and
+        told apart by their tokens' widths."""
+        open_, alone = [], []
+        for w in new:
+            (open_ if len(w) > 1 and w[0] == " " and not w[1].isspace() else alone).append(w)
+        for word, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self[word] = np.array(got.ids, "<u4").tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, words)) if words is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, split, strict=True)]
+        ends = np.cumsum([len(w.encode()) for w in open_], dtype=np.int64)
+        low = 0
+        while low < len(open_):
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + JOINED, "right")))
+            (got,) = self.tokenizer.encode_batch_fast(["".join(open_[low:high])], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            cuts = (4 * (np.searchsorted(np.cumsum(self.widths[ids]), ends[low:high] - before) + 1)).tolist()
+            raw, at = ids.tobytes(), 0
+            for word, to in zip(open_[low:high], cuts, strict=True):
+                self[word] = raw[at:to]
+                at = to
+            low = high
 
     @staticmethod
     def words(text: str) -> list[str] | None:
@@ -122,147 +157,135 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{a} {b}" for a, b, _ in fields]]))
 
 
-def _knapsack(values: np.ndarray, most: np.ndarray, capacity: int) -> list[int]:
-    """The multiset of sizes 1.. of greatest value within capacity, at most most[size] of a size; values[size - 1] >= 0.
+def price_configurations(prices: np.ndarray, sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The greatest worth of a configuration, and configurations as rows of copies of each size: for each size the one of most
+    worth that has it, and the best of all. No row has more copies of a size than counts says.
 
-    A dynamic program over capacities with unlimited copies; copies beyond `most` are then dropped.
+    A knapsack program with bounded copies: a size enters in bundles of 1, 2, 4, .. copies, each taken once or not.
     """
-    if not values.any():
-        return []
-    worth = np.where(values > 0, values, -np.inf)
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        gain = best[c - 1 :: -1][: len(worth)] + worth[:c]
-        i = int(gain.argmax())
-        best[c], choice[c] = (gain[i], i + 1) if gain[i] > best[c - 1] else (best[c - 1], 0)
-    out, c, used = [], capacity, {}
-    while c > 0:
-        s = int(choice[c])
-        if not s:
-            c -= 1
-            continue
-        used[s] = used.get(s, 0) + 1
-        if used[s] <= most[s - 1]:
-            out.append(s)
-        c -= s
-    return out
-
-
-def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 600, step: float = 0.5) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional uses of configurations that cover counts[size - 1] pieces of each size, by multiplicative weights.
-
-    Each round prices sizes by weight over count, takes the best configuration as often as a tenth of the scarcest
-    of its sizes allows, and lowers the weights of what it covered. The sum is scaled to cover no size more than once.
+    bundles = []
+    for i, (size, n) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
+        left, k = min(n, capacity // size), 1
+        while left:
+            k = min(k, left)
+            bundles.append((i, k, k * size))
+            left, k = left - k, 2 * k
+    best, taken = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), bool)
+    for j, (i, k, weight) in enumerate(bundles):
+        worth = best[:-weight] + k * prices[i]
+        taken[j, weight:] = worth > best[weight:]
+        np.maximum(best[weight:], worth, out=best[weight:])
+    room = np.concatenate([capacity - sizes, [capacity]])
+    rows = np.zeros((len(room), len(sizes)), np.int16)
+    rows[np.arange(len(sizes)), np.arange(len(sizes))] = 1
+    for j in range(len(bundles) - 1, -1, -1):
+        i, k, weight = bundles[j]
+        take = taken[j][room]
+        if take.any():
+            rows[:, i] += k * take
+            room = room - weight * take
+    return float(best[capacity]), np.minimum(rows, counts).astype(np.int16)
+
+
+def solve_configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, *, rounds: int | None = None, near: float = 0.02, step: float = 0.15, gap: float = 0.001) -> tuple[dict[bytes, float], float]:
+    """Fractional uses of configurations (copies of each size, as 16-bit numbers) that cover counts pieces of sizes, and a lower bound of their number.
+
+    Multiplicative weights: a round prices sizes by weight over count, takes the configurations worth nearly as much as
+    the best, each as often as its size is wanted, `step` (less in later rounds) of the most covered size at most, and lowers the
+    weights of what they cover. It ends when uses and bound differ by `gap`, or after `rounds`; the uses of the first half are not kept. Uses are scaled to cover 1 / 1.3
+    of all tokens, so few sizes are covered more than once; rounding sees to those.
     """
-    live = counts > 0
-    if not live.any():
-        return []
-    weights = np.where(live, np.arange(1, len(counts) + 1) * counts, 0.0).astype(float)
-    weights /= weights.sum()
-    used: dict[tuple[int, ...], float] = {}
-    covered = np.zeros(len(counts))
-    for _ in range(rounds):
-        prices = np.where(live, weights / np.maximum(counts, 1), 0.0)
-        config = _knapsack(prices, counts, capacity)
-        if not config:
-            break
-        a = np.bincount(config, minlength=len(counts) + 1)[1:]
-        amount = 0.1 * float((counts[a > 0] / a[a > 0]).min())
-        key = tuple(sorted(config, reverse=True))
-        used[key] = used.get(key, 0.0) + amount
-        share = a * amount / np.maximum(counts, 1)
-        covered += share
-        weights *= np.exp(-step * share)
+    rounds = rounds or max(ROUNDS, min(1000, 20_000 // len(sizes)))
+    mass = (sizes * counts).astype(float)
+    weights = mass / mass.sum()
+    used: dict[bytes, float] = {}
+    covered, total, bound = np.zeros(len(sizes)), 0.0, 0.0
+    for turn in range(rounds):
+        if turn == rounds // 2:  # uses at prices far from the last ones are forgotten
+            used, covered, total = {}, np.zeros(len(sizes)), 0.0
+        prices = weights / counts
+        top, rows = price_configurations(prices, sizes, counts, capacity)
+        bound = max(bound, weights.sum() / top)
+        worth = rows @ prices
+        fit = worth >= (1 - near) * top
+        rows = rows[fit]
+        amount = np.concatenate([counts.astype(float), [0.0 if fit[:-1].any() else 1.0]])[fit] / rows.max(1)
+        share = (amount @ rows) / counts
+        scale = step * max(0.1, 1 - turn / rounds) / share.max()
+        for row, x in zip(rows, (amount * scale).tolist(), strict=True):
+            if x:
+                key = row.tobytes()
+                used[key] = used.get(key, 0.0) + x
+        covered += share * scale
+        total += amount.sum() * scale
+        weights = weights * np.exp(-share * scale)
         weights /= weights.sum()
-        if covered[live].min() >= 1:
+        if covered.min() and total / covered.min() <= (1 + gap) * bound:
             break
-    top = covered.max()
-    return [(k, v / top) for k, v in used.items()]
+    most = 1.3 * float(covered @ mass / mass.sum())
+    return {k: v / most for k, v in used.items()}, bound
 
 
-class _Runs:
-    """Pieces left by length, handed out by unit class from the longest."""
+def _rounded(histogram: dict[int, int], length: int) -> dict[tuple[int, ...], int]:
+    """Lengths in one sequence, and how many such sequences; holds every piece once.
 
-    def __init__(self, counts: dict[int, int], unit: int):
-        self.counts, self.unit = dict(counts), unit
+    The program is solved, its uses are rounded down and taken while pieces last; if that takes less than half, each configuration
+    is taken once more while its pieces last. What is left is solved again until nothing is, so the
+    program places every piece, few or many.
+    """
+    left = {n: m for n, m in histogram.items() if m and n < length}
+    groups: dict[tuple[int, ...], int] = {(length,): histogram[length]} if histogram.get(length) else {}
+    while left:
+        sizes = np.array(sorted(left))
+        counts = np.array([left[n] for n in sizes.tolist()])
+        remain = counts.copy()
+
+        def take(row: np.ndarray, most: int) -> None:
+            kinds = np.flatnonzero(row)
+            m = min(most, int((remain[kinds] // row[kinds]).min()))
+            if m:
+                remain[kinds] -= m * row[kinds]
+                key = tuple(np.repeat(sizes[kinds], row[kinds])[::-1].tolist())
+                groups[key] = groups.get(key, 0) + m
+
+        used, _ = solve_configurations(sizes, counts, length)
+        ranked = sorted(used.items(), key=lambda u: (-u[1], u[0]))
+        for key, x in ranked:
+            if x < 1 - 1e-9:
+                break
+            take(np.frombuffer(key, np.int16).astype(np.int64), int(x + 1e-9))
+        if 2 * remain.sum() > counts.sum():
+            for key, _ in ranked:
+                take(np.frombuffer(key, np.int16).astype(np.int64), 1)
+        left = {int(n): int(m) for n, m in zip(sizes, remain, strict=True) if m}
+    return groups
 
-    def of(self, size: int) -> list[int]:
-        return [n for n in range(size * self.unit, (size - 1) * self.unit, -1) if self.counts.get(n)]
 
+def plan_packing(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in one sequence, number of such sequences); holds every piece once.
 
-def plan_packing(histogram: dict[int, int], length: int = LENGTH, unit: int = UNIT) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, number of such sequences); holds every piece once."""
-    groups: dict[tuple[int, ...], int] = {}
-    runs = _Runs(histogram, unit)
-    capacity = length // unit
+    Sequences with more room than most, and as many of those made of the shortest pieces, are planned once more while that saves any.
+    """
+    groups = _rounded(histogram, length)
+    while groups:
+        mean = sum(sum(k) * m for k, m in groups.items()) / sum(groups.values())
+        pool = {k: m for k, m in groups.items() if sum(k) < mean}
+        more = sum(pool.values())
+        for key in sorted(groups.keys() - pool.keys(), key=lambda k: (k[0], k)):
+            if more > 0:
+                pool[key] = min(more, groups[key])
+                more -= pool[key]
+        pieces: dict[int, int] = {}
+        for key, m in pool.items():
+            for n in key:
+                pieces[n] = pieces.get(n, 0) + m
+        new = _rounded(pieces, length)
+        if sum(new.values()) >= sum(pool.values()):
+            break
+        groups = {k: n for k in groups.keys() | new.keys() if (n := groups.get(k, 0) - pool.get(k, 0) + new.get(k, 0))}
+    return sorted(groups.items())
 
-    def classes() -> np.ndarray:
-        out = np.zeros(capacity, np.int64)
-        for n, m in runs.counts.items():
-            out[-(-n // unit) - 1] += m
-        return out
 
-    if runs.counts.get(length):
-        groups[(length,)] = runs.counts.pop(length)
-    for _ in range(4):
-        counts = classes()
-        before = counts.sum()
-        if before < 50:
-            break
-        for config, share in sorted(solve_configurations(counts, capacity), key=lambda x: -sum(x[0])):
-            # gaps of more than a hundredth are left to best fit
-            if sum(config) < 0.99 * capacity:
-                continue
-            todo = int(share)
-            while todo > 0:
-                need: dict[int, int] = {}
-                for size in config:
-                    for n in runs.of(size):
-                        if runs.counts[n] > need.get(n, 0):
-                            need[n] = need.get(n, 0) + 1
-                            break
-                    else:
-                        break
-                else:
-                    m = min(todo, *(runs.counts[n] // k for n, k in need.items()))
-                    key = tuple(sorted((n for n, k in need.items() for _ in range(k)), reverse=True))
-                    groups[key] = groups.get(key, 0) + m
-                    for n, k in need.items():
-                        runs.counts[n] -= m * k
-                    todo -= m
-                    continue
-                break
-        if classes().sum() > 0.98 * before:
-            break
-    return _best_fit(groups, {n: m for n, m in runs.counts.items() if m}, length)
-
-
-def _best_fit(groups: dict[tuple[int, ...], int], left: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
-    """Pieces from the longest into the tightest gaps, by counts: sequences of one make are filled together."""
-    by_gap: dict[int, dict[tuple[int, ...], int]] = {}
-    for key, m in groups.items():
-        by_gap.setdefault(length - sum(key), {})[key] = m
-    for n in sorted(left, reverse=True):
-        m = left[n]
-        for gap in sorted(g for g in by_gap if g >= n):
-            for key in sorted(by_gap[gap]):
-                # a sequence takes pieces until the length no longer fits; the last one may get fewer
-                while m and by_gap[gap].get(key):
-                    each = min(gap // n, m)
-                    fit = min(m // each, by_gap[gap][key])
-                    new, filled = by_gap.setdefault(gap - each * n, {}), key + (n,) * each
-                    new[filled] = new.get(filled, 0) + fit
-                    by_gap[gap][key] -= fit
-                    m -= fit * each
-                if not by_gap[gap][key]:
-                    del by_gap[gap][key]
-        while m:
-            each = min(length // n, m)
-            fit = m // each
-            new = by_gap.setdefault(length - each * n, {})
-            new[(n,) * each] = new.get((n,) * each, 0) + fit
-            m -= fit * each
-    return [(k, m) for gap in sorted(by_gap) for k, m in sorted(by_gap[gap].items()) if m]
 
 
 def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
