@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Java / RE2 class of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 #: Removes the shuffle files of a query when it ends.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder (URI) under the shared folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset, as in tests, a local temporary folder is taken.
+    Only where that is unset and the session is local, as in tests, a local temporary folder is taken.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = getattr(spark.sparkContext, "_kindred_scratch", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="kindred-")
@@ -42,7 +46,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._kindred_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df._kindred_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs run inside hand Python workers so many rows at a time: for rows of long texts."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,12 +96,23 @@ def hex_digits(rows: int, per_bucket: int = 20_000) -> int:
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """doc, text with unique numbers in the order of the ids; and, unless ids are numbers already, docs with column __doc."""
+    """doc, text with unique numbers in the order of the ids; and, unless ids are numbers already, docs with column __doc.
+
+    Null ids come last; rows that share an id stand in the order of their texts' first characters, then of a hash of the text. Rows are dealt to
+    tasks by range of these; a task's rows are numbered from the number of rows before it.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     keys = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
     kind = dict(docs.dtypes)[id_col]
     if kind in ("tinyint", "smallint", "int", "bigint") and not keys.limit(1).count():
-        return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), None
-    ordered = docs.orderBy(F.col(id_col).asc_nulls_last(), F.col(text_col))
-    schema = T.StructType([*docs.schema.fields, T.StructField("__doc", T.LongType())])
-    out = materialise(docs.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema), "numbered")
-    return out.select(F.col("__doc").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), out
+        return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")), None
+    order = [F.col(id_col).asc_nulls_last(), F.substring(text, 1, 32), F.xxhash64(text), F.monotonically_increasing_id()]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order[:3])
+    rows = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = lambda c: F.shiftright(F.col(c), 33)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy(part("__at").alias("__part")).count().select("__part", before.alias("__before"))  # a row per task
+    out = rows.join(F.broadcast(offsets), part("__at") == F.col("__part"))
+    out = out.select(*docs.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("__doc"))
+    return out.select(F.col("__doc").alias("doc"), text.alias("text")), out

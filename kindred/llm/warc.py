@@ -16,12 +16,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch
+from .common import read, scratch, small_batches
 
 #: Payloads below so many bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -43,9 +44,10 @@ def _number(value: str | None) -> int | None:
     return int(digits) if digits else None
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC record as one gzip member. A revisit holds the HTTP headers only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def encode_record(page_id: int | None, url: str | None, payload: bytes | int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC record as one gzip member. A revisit holds the HTTP headers only, so its payload's size will do."""
+    size = payload if isinstance(payload, int) else len(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
@@ -70,7 +72,15 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
     firsts = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                ids, urls, digests = (part.column(k).to_pylist() for k in (0, 1, 3))
+                payloads = part.column(2)
+                records = [encode_record(ids[i], urls[i], payloads[i].as_py(), digests[i], None, False) for i in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pc.binary_length(payloads).cast(pa.int64()), part.column(3), pa.array(records, pa.binary())], ["page_id", "url", "size", "digest", "record"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(path)
@@ -78,21 +88,29 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
         context = TaskContext.get()
         name = f"{base}/part-{context.partitionId():06d}.warc.gz"
         part = f"{name}.{context.taskAttemptId()}.part"
-        size = 0
+        total = 0
         with store.open_output_stream(part) as out:
             for batch in batches:
-                for r in batch.to_pylist():
-                    revisit = r["first"] is not None and r["page_id"] != r["first"]
-                    size += out.write(encode_record(r["page_id"], r["url"], r["payload"], r["digest"], r["first"], revisit))
+                digest, page_id, url, size, record, first = (batch.column(batch.schema.get_field_index(c)) for c in ("digest", "page_id", "url", "size", "record", "first"))
+                for i in range(batch.num_rows):
+                    own, other = page_id[i].as_py(), first[i].as_py()
+                    if other is not None and own != other:
+                        total += out.write(encode_record(own, url[i].as_py(), size[i].as_py(), digest[i].as_py(), other, True))
+                    else:
+                        total += out.write(record[i].as_buffer())
         store.move(part, name)
-        yield pa.RecordBatch.from_pydict({"name": [name.rpartition("/")[2]], "size": pa.array([size], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"name": [name.rpartition("/")[2]], "size": pa.array([total], pa.int64())})
 
-    return [(f"{path.rstrip('/')}/{r['name']}", r["size"]) for r in rows.mapInArrow(write, "name string, size long").collect()]
+    # payloads are compressed where they are read; the shuffle that brings revisits to their responses moves records
+    records = rows.mapInArrow(encode, "page_id long, url string, size long, digest string, record binary").join(firsts, "digest", "left")
+    with small_batches(pages.sparkSession):
+        done = records.mapInArrow(write, "name string, size long").collect()
+    return [(f"{path.rstrip('/')}/{r['name']}", r["size"]) for r in done]
 
 
 def _headers(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    return {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
 class _Window:
@@ -123,19 +141,20 @@ def scan_range(file, size: int, start: int, end: int, on_error: str = "raise") -
             return
         if start + i >= end:
             return
-        inflate, text, at, bad = zlib.decompressobj(31), b"", i, False
+        inflate, pieces, at, bad = zlib.decompressobj(31), [], i, False
         try:
             while not inflate.eof:
                 if at >= len(window.data) and not window.more():
                     bad = True
                     break
                 piece = window.data[at : at + (1 << 16)]
-                text += inflate.decompress(piece)
+                pieces.append(inflate.decompress(piece))
                 at += len(piece)
-                if len(text) >= 7 and not text.startswith(b"WARC/1."):
+                if len(pieces) == 1 and len(pieces[0]) >= 7 and not pieces[0].startswith(b"WARC/1."):
                     break
         except zlib.error:
             bad = True
+        text = b"".join(pieces)
         if not text.startswith(b"WARC/1."):
             i += 1  # the magic number by chance, within a member
             continue
@@ -152,28 +171,27 @@ def scan_range(file, size: int, start: int, end: int, on_error: str = "raise") -
         yield {"named": named, "http": _headers(http), "payload": payload}
 
 
-def splits(files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int, int, int]]:
-    return [(f, size, at, min(size, at + split_bytes)) for f, size in files for at in range(0, size, split_bytes)]
-
-
 def read_warc(spark: SparkSession, files: list[tuple[str, int]], *, split_bytes: int = SPLIT_BYTES, payload: bool = True, on_error: str = "raise") -> DataFrame:
     """The records of archives, a task per byte range: id, url, payload, its size and SHA-256, kind, and whom it refers to.
 
     A response's size and digest are taken from its payload, and the digest must agree with its header; a revisit
     has none and states those of the record it refers to. payload=False leaves the column null. No archives: no rows.
+    A payload of arbitrary bytes that holds a whole archive member may be taken for a record if a range starts inside it; UTF-8
+    text can't hold the magic number.
     """
-    ranges = splits(files, split_bytes)
+    ranges = sum(-(-size // split_bytes) for _, size in files)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start")
+    parts = spark.createDataFrame(files, "path string, size long").filter("size > 0").select("path", "size", starts)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"page_id": pa.int64(), "url": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
         out: dict[str, list] = {k: [] for k in kinds}
         held = 0
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                path, size, start, end = ranges[k]
+            for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, name = _open(path)
                 with store.open_input_file(name) as file:
-                    for r in scan_range(file, size, start, end, on_error):
+                    for r in scan_range(file, size, start, min(size, start + split_bytes), on_error):
                         named, revisit = r["named"], r["named"].get("warc-type") == "revisit"
                         said = named.get("warc-payload-digest", "").removeprefix("sha256:")
                         digest = said if revisit else hashlib.sha256(r["payload"]).hexdigest()
@@ -193,7 +211,7 @@ def read_warc(spark: SparkSession, files: list[tuple[str, int]], *, split_bytes:
                             out, held = {k: [] for k in kinds}, 0
         yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in out.items()})
 
-    return spark.range(0, len(ranges), 1, max(1, len(ranges))).mapInArrow(scan, RECORD_SCHEMA)
+    return parts.repartition(max(1, ranges)).mapInArrow(scan, RECORD_SCHEMA)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
