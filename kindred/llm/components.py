@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -21,7 +21,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         near = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
         new = labels.join(near, "a").select("a", F.least("c", "m").alias("m"), F.col("c").alias("was"))
         jump = labels.select(F.col("a").alias("m"), F.col("c").alias("j"))
-        labels = materialise(new.join(jump, "m", "left").select("a", F.least("m", F.coalesce("j", "m")).alias("c"), "was"), name)
+        old, labels = labels, materialise(new.join(jump, "m", "left").select("a", F.least("m", F.coalesce("j", "m")).alias("c"), "was"), name)
+        discard(old)
         if not labels.filter("c <> was").limit(1).count():
+            discard(both)
             return labels.select(F.col("a").alias("node"), F.col("c").alias("component"))
-        labels = labels.select("a", "c")

@@ -6,11 +6,13 @@ so with k blocks, more than the greatest difference in a band of sizes, similar
 k - d blocks or more. Blocks are very wide and sparse, so each is kept as the XOR of 64-bit names of its set bits.
 Equal blocks under one scheme meet in a bucket.
 
-First the others of a bucket are tested against its first, which links most of a group of near copies
-with as many tests as it has members. Only buckets that still hold two components or more go on. Of small ones
-the pairs across components are tested. Members of large ones meet in blocks of bounded size with narrower parity sketches, whose
-Hamming distance rules out nearly all pairs that aren't linked; of two components the nearest pairs are tested first, and more
-in each round until no pair is left that could join two components. What is tested is compared shingle by shingle.
+Each set also has a narrow parity sketch of a bit or two for each shingle, whose Hamming distance bounds the
+difference of two sets from below: it rules out nearly all pairs that aren't linked before any text moves.
+First the others of a bucket are paired with its first, and each document is tested against the nearest of these, which links most of a
+group of near copies with as many tests as it has members. Only buckets that still hold two components or more go on. Of small ones
+the pairs across components are tested. Members of large ones meet in blocks of bounded size; of two components the nearest
+pairs are tested first, and more in each round until no pair is left that could join two components. What is tested is compared
+shingle by shingle, so the ways of small and large buckets give one result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, read
+from .common import discard, materialise, numbered, read, small_batches
 from .components import components
 
 SHINGLE = 3
@@ -34,8 +36,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Members of a bucket up to which pairs are tested one by one.
 SMALL = 8
-#: Documents in a block of a large bucket, and bits of their sketches.
+#: Documents in a block of a large bucket, and bits of a sketch where none are given.
 BLOCK_ROWS, BITS = 1024, 2048
+#: Pairs of one first document that are tested together.
+GROUP = 256
 #: Documents, and characters, whose shingles are held at once (a longer text is alone).
 CHUNK, CHUNK_CHARS = 500, 2_000_000
 
@@ -153,8 +157,31 @@ def _chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
         yield out
 
 
+def _bits(n: int) -> int:
+    """Bits of the sketch of a set of n shingles: a power of two, and no fewer than it has shingles."""
+    return 1 << max(6, (n - 1).bit_length())
+
+
+def parity(s: np.ndarray, bits: int = BITS) -> bytes:
+    """A sketch of bits, of which each shingle flips one: two sets differ in as many shingles as their sketches in bits, or more."""
+    return np.packbits(np.bincount((_mix(s + np.uint64(0x77)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer 64-bit words: bits that are half its length apart become one."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
 def _sketched(size: int, percent: int):
-    """(doc, n, rep, key): a row per document with its representative among equal sets of the batch, and rows of keys, without one."""
+    """(doc, n, rep, key, sketch): a row per document with its representative among equal sets of the batch and, for a representative,
+    its parity sketch; and rows of block keys, without either."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc", "n", "rep", "key", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -164,23 +191,24 @@ def _sketched(size: int, percent: int):
             sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
             for chunk in _chunks(sorted(range(len(docs)), key=docs.__getitem__), sizes):
                 own, sets = [], []
-                out: list[list] = [[], [], []]
+                out: list[list] = [[], [], [], []]
                 for i in chunk:
                     s = shingle_set(texts[i].as_py(), names, size)
-                    rep = docs[i]
+                    rep, sketch = docs[i], None
                     if len(s):
                         rep = first.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), rep)
                         if rep == docs[i]:
                             own.append(rep)
                             sets.append(s)
-                    for column, value in zip(out, (docs[i], len(s), rep), strict=True):
+                            sketch = parity(s, _bits(len(s)))
+                    for column, value in zip(out, (docs[i], len(s), rep, sketch), strict=True):
                         column.append(value)
                 names.trim()
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out] + [pa.array(_mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64))], ["doc", "n", "rep", "key"])
+                yield rows(*out[:3], _mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64), out[3])
                 which, key = block_keys(sets, percent) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
                 if len(which):
-                    doc, n = np.array(own, np.int64)[which], np.array([len(s) for s in sets], np.int64)[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.nulls(len(doc), pa.int64()), pa.array(key.view(np.int64))], ["doc", "n", "rep", "key"])
+                    none = pa.nulls(len(which), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[which]), pa.array(np.array([len(s) for s in sets], np.int64)[which]), none, pa.array(key.view(np.int64)), pa.nulls(len(which), pa.binary())], ["doc", "n", "rep", "key", "sketch"])
 
     return run
 
@@ -193,51 +221,64 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(size: int, percent: int):
+def _near(percent: int):
+    """Of rows a, b, na, nb, sa, sb the pairs whose sketches allow a link, and how far apart these are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
-        last: tuple = (None, None)
         for batch in batches:
+            a_s, b_s, na, nb = (batch.column(k).to_pylist() for k in range(4))
             out: list[list] = [[], [], []]
-            a_s, b_s = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (a, b) in enumerate(zip(a_s, b_s, strict=True)):
-                if last[0] != a:
-                    last = (a, shingle_set(batch.column(2)[i].as_py(), names, size))
-                out[0].append(a)
-                out[1].append(b)
-                out[2].append(similar(last[1], shingle_set(batch.column(3)[i].as_py(), names, size), percent))
-            names.trim()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "linked"])
+            for i in range(len(a_s)):
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (4, 5))
+                words = min(len(x), len(y))
+                far = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                if far * (100 + percent) <= (na[i] + nb[i]) * (100 - percent):
+                    for column, value in zip(out, (a_s[i], b_s[i], far), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out], ["a", "b", "far"])
 
     return run
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b, linked of distinct pairs a, b."""
-    one = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
-    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-    return rows.mapInArrow(_verified(size, percent), "a long, b long, linked boolean")
-
+def _allowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b, far: those of distinct pairs a, b whose sketches allow a link. sketches: doc, n, sketch."""
+    one = sketches.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    rows = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb")
+    return rows.mapInArrow(_near(percent), "a long, b long, far long")
 
-def parity(s: np.ndarray) -> bytes:
-    """A sketch of BITS bits, of which each shingle flips one: two sets differ in as many shingles as their sketches in bits, or more."""
-    return np.packbits(np.bincount((_mix(s + np.uint64(0x77)) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
+def _verified(size: int, percent: int):
+    """Rows g, part, doc, text by group, of which the first is doc g itself: whether each other one is linked with g."""
 
-def _parities(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
+        at, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            out = []
-            for x in batch.column(1):
-                out.append(parity(shingle_set(x.as_py(), names, size)))
+            out: list[list] = [[], [], []]
+            for i, (g, part, doc) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                s = shingle_set(batch.column(3)[i].as_py(), names, size)
+                if (g, part) != at:
+                    at, own = (g, part), s
+                    continue
+                for column, value in zip(out, (g, doc, similar(own, s, percent)), strict=True):
+                    column.append(value)
                 names.trim()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "linked"])
 
     return run
 
 
+def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, linked of distinct pairs a, b. A text goes once to each group of up to about GROUP pairs that share their first document."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    dealt = pairs.join(many, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    wanted = dealt.select("g", "part", F.col("g").alias("doc")).distinct().unionByName(dealt.select("g", "part", F.col("b").alias("doc")))
+    rows = wanted.join(texts, "doc").select("g", "part", "doc", "text")
+    rows = rows.repartition("g", "part").sortWithinPartitions("g", "part", F.col("doc") != F.col("g"))
+    return rows.mapInArrow(_verified(size, percent), "a long, b long, linked boolean")
+
+
 def candidates_across(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int, most: int, cut: int = 0) -> tuple[list[tuple[int, int]], bool]:
     """Pairs (places) of different labels whose sketches and sizes allow a link: of two labels the `most` pairs of least
     distance, and whether there are more. cut > 0: only pairs of one before and one from place `cut`. sketches: rows of 64-bit words."""
@@ -270,7 +311,8 @@ def _crossed(percent: int, most: int):
             cut = sum(r[0] == at[1] for r in held) if at[1] != at[2] else 0
             found, more = [], False
             if len(held) > 1 and cut < len(held):
-                sketches = np.frombuffer(b"".join(r[4] for r in held), np.uint64).reshape(len(held), -1)
+                words = min(len(r[4]) for r in held) // 8
+                sketches = np.stack([folded(np.frombuffer(r[4], np.uint64), words) for r in held])
                 found, more = candidates_across(sketches, np.array([r[2] for r in held]), np.array([r[3] for r in held]), percent, most, cut)
             ends = [sorted((held[i][1], held[j][1])) for i, j in found] + [[None, None]] * more
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -288,22 +330,30 @@ def _crossed(percent: int, most: int):
     return run
 
 
+def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of pairs a, b those that labels don't join already."""
+    ends = pairs.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    return ends.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc (unique), text. doc, n, rep of all; node, component of representatives that have links."""
-    sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long")
+    sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long, sketch binary")
     # rows of documents go through the same shuffle under keys of their own; both windows have one order, so there is one sort
     bucket = Window.partitionBy("key", "base")
     keyed = sketched.withColumn("base", F.col("rep").isNotNull())
     found = keyed.select("*", F.count(F.lit(1)).over(bucket).alias("many"), F.min(F.struct("doc", "n")).over(bucket).alias("first"))
-    found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.col("first.n").alias("n1")), "jaccard-found")
-    base = found.filter("rep is not null").select("doc", "n", "rep")
+    with small_batches(rows.sparkSession):
+        found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.col("first.n").alias("n1"), "sketch"), "jaccard-found")
+    base = materialise(found.filter("rep is not null").select("doc", "n", "rep"), "jaccard-base")
+    sketches = found.filter("sketch is not null").select("doc", "n", "sketch")
     members = found.filter("rep is null").select("key", "doc", "n", "first", "n1")
     sized = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
-    texts = materialise(rows.join(members.select("doc").distinct(), "doc"), "jaccard-texts")
     pairs = members.filter((F.col("doc") != F.col("first")) & sized(F.col("n"), F.col("n1"))).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    tested = materialise(_tested(pairs, texts, size, percent), "jaccard-tested")
-    links = tested.filter("linked").select("a", "b")
-    labels = components(links, "jaccard-components")
+    with_first = materialise(_allowed(pairs, sketches, percent), "jaccard-first")
+    nearest = with_first.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    tested = materialise(_tested(nearest, rows, size, percent), "jaccard-tested")
+    labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
     by = Window.partitionBy("key")
     left = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
     left = left.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("m", F.count(F.lit(1)).over(by))
@@ -311,14 +361,19 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     small = left.filter(F.col("m") <= SMALL)
     other = small.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = small.join(other, "key").filter((F.col("doc") < F.col("b")) & (F.col("cb") != F.col("component")) & sized(F.col("n"), F.col("nb")))
-    pairs = pairs.select(F.col("doc").alias("a"), "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = materialise(tested.unionByName(_tested(pairs, texts, size, percent)), "jaccard-tested")
-    labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
+    pairs = _allowed(pairs.select(F.col("doc").alias("a"), "b").distinct().join(with_first, ["a", "b"], "left_anti"), sketches, percent)
+    pairs = _across(with_first.unionByName(pairs), labels).join(tested, ["a", "b"], "left_anti")
+    old, again = tested, materialise(pairs, "jaccard-small")
+    if again.limit(1).count():
+        tested = materialise(tested.unionByName(_tested(again, rows, size, percent)), "jaccard-tested")
+        labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
+        discard(old)
+    discard(again, with_first)
     # large buckets: every two blocks of one meet
     large = left.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    sketches = texts.join(large.select("doc").distinct(), "doc").select("doc", "text").mapInArrow(_parities(size), "doc long, sketch binary")
-    large = materialise(large.select("key", "doc", "n", "blocks", "block").join(sketches, "doc"), "jaccard-large")
+    large = materialise(large.select("key", "doc", "n", "blocks", "block").join(sketches.select("doc", "sketch"), "doc"), "jaccard-large")
+    discard(left, found)
     most = 4
     while True:
         now = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -327,10 +382,15 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         found = materialise(now.mapInArrow(_crossed(percent, most), "a long, b long").distinct(), "jaccard-candidates")
         more = found.filter("a is null").limit(1).count()
         new = materialise(found.filter("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-new")
+        done = not more
         if new.limit(1).count():
-            tested = materialise(tested.unionByName(_tested(new, texts, size, percent)), "jaccard-tested")
+            old, tested = tested, materialise(tested.unionByName(_tested(new, rows, size, percent)), "jaccard-tested")
             labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
-        elif not more:
+            discard(old)
+            done = False
+        discard(found, new)
+        if done:
+            discard(large, tested)
             return base, labels
         most *= 4
 
