@@ -4,7 +4,8 @@
    choose equal grams, so all occurrences of a string share the gram's key. Consecutive starts with one gram form
    a context; contexts equal in all bytes are told by hashes and collapse at once, within a batch before the shuffle and
    after it by key: all but the earliest are repeats throughout. Keys with one context are done.
-2. Contexts that share a key but differ are cut out of their texts, brought together by key, and
+2. Contexts that share a key but differ are cut out of their texts and brought together by key. Those that have
+   no string a little shorter than LENGTH in common with another of their key are done; the others are
    put, key by key, into blocks of bounded size. A block's Burrows-Wheeler transform is extended backwards breadth first: the
    intervals of prefixes of length l + 1 follow from those of length l, so common prefixes come to
    light in increasing order, and the extension stops at LENGTH. Starts still in one interval begin equal strings; all but
@@ -30,6 +31,8 @@ GRAM = 20
 #: Differing contexts under one key beyond which they are compared string by string.
 CROWD = 20_000
 BLOCK = 1 << 20
+#: Strings around a gram by which contexts that share less than LENGTH bytes are told apart beforehand.
+PARTS = 4
 LONGEST = 1 << 23
 
 _TABLE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -195,92 +198,166 @@ def _reduced(rows: DataFrame) -> DataFrame:
     return keyed.unionByName(rows.filter("key is null").select("doc", "p", "n", "key", F.lit(None).cast("long").alias("crowd")))
 
 
+def _order(symbols: np.ndarray, depth: int, width: int) -> np.ndarray:
+    """Order of the suffixes of symbols below 512 by their first `depth` symbols at least.
+
+    The first sort is by as many symbols as a number holds; each further one doubles them and touches only the suffixes
+    that aren't alone yet. A rank is the place of the first suffix of its group.
+    """
+    n = len(symbols)
+    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(6, np.uint64)])
+    packed = padded[:n].copy()
+    for k in range(1, 7):
+        packed <<= np.uint64(9)
+        packed |= padded[k : k + n]
+    order = np.argsort(packed).astype(np.int32)
+    line = packed[order]
+    begins = np.concatenate([[True], line[1:] != line[:-1]])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n, dtype=np.int32), 0))
+    while width < depth:
+        at = np.flatnonzero(~(begins & np.concatenate([begins[1:], [True]])))
+        if not len(at):
+            break
+        where = order[at]
+        behind = where + np.int32(width)
+        key = (rank[where].astype(np.int64) << 32) | np.where(behind < n, rank[np.minimum(behind, n - 1)] + 1, 0)
+        line = np.argsort(key)
+        where, key = where[line], key[line]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        order[at], begins[at] = where, fresh
+        rank[where] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        width *= 2
+    return order
+
+
 def extend_backwards(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a text of symbols below 511 and its end, and for each row of it the number of its interval of common prefixes of `length` symbols.
 
-    The order is found to `length` symbols at least by doubling. The transform's rows with one symbol, in order, are the
-    rows that follow from extending their prefixes by it, so row r begins a new interval of length l + 1 where the rows
-    before and at r extend different intervals of length l. Rows not yet begun are looked at level by level.
+    The transform's rows with one symbol, in order, are the rows that follow from extending their prefixes by it, so row r begins a new
+    interval of length l + 1 where the rows before and at r extend different intervals of length l: where one of the rows that begin
+    at length l lies between the two, or is the latter. Where the two are neighbours, that row alone decides, and leads to r; the other
+    rows not yet begun are looked at level by level.
     """
-    symbols = np.concatenate([symbols.astype(np.int64) + 1, [0]])  # ends with a least symbol of its own
+    symbols = np.concatenate([symbols.astype(np.uint16) + np.uint16(1), np.zeros(1, np.uint16)])  # ends with a least symbol of its own
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(7, np.uint64)])
-    packed = np.zeros(n, np.uint64)
-    for k in range(7):
-        packed = (packed << np.uint64(9)) | padded[k : k + n]
-    depth = 7
-    order = np.argsort(packed, kind="stable")
-    while True:
-        line = packed[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (line[1:] != line[:-1]).astype(np.int64)]))
-        if depth >= length or rank[order[-1]] == n - 1:
-            break
-        behind = np.zeros(n, np.int64)
-        if depth < n:
-            behind[:-depth] = rank[depth:] + 1
-        packed = (rank * (n + 1) + behind).view(np.uint64)
-        order = np.argsort(packed, kind="stable")
-        depth *= 2
+    order = _order(symbols, length, 7)
     transform = symbols[order - 1]
-    source = np.argsort(transform, kind="stable")  # the row that row r extends
+    source = np.argsort(transform, kind="stable").astype(np.int32)  # the row that row r extends
+    extended = np.empty(n, np.int32)  # and the row that extends it
+    extended[source] = np.arange(n, dtype=np.int32)
     begins = np.zeros(n, bool)
-    begins[0] = True
     c = transform[source]
     new = np.flatnonzero(c[1:] != c[:-1]) + 1
+    begins[0] = True
     begins[new] = True
-    left = np.flatnonzero(~begins)
+    led = np.zeros(n, bool)
+    led[1:] = source[1:] == source[:-1] + 1
+    left = np.flatnonzero(~begins & ~led)
     here, before = source[left], source[left - 1]
     for _ in range(1, length):
-        if not len(new) or not len(left):
+        if not len(new):
             break
-        number = np.cumsum(begins, dtype=np.int32)
-        parted = number[here] != number[before]
-        new = left[parted]
+        found = extended[new]
+        found = found[led[found] & ~begins[found]]
+        if len(left):
+            if 20 * len(left) > n:
+                number = np.cumsum(begins, dtype=np.int32)
+                parted = number[here] != number[before]
+            else:
+                line = np.sort(new)
+                parted = np.searchsorted(line, here, "right") != np.searchsorted(line, before, "right")
+            found = np.concatenate([found, left[parted]])
+            stay = ~parted
+            left, here, before = left[stay], here[stay], before[stay]
+        new = found
         begins[new] = True
-        stay = ~parted
-        left, here, before = left[stay], here[stay], before[stay]
-    return order, np.cumsum(begins, dtype=np.int64)
+    return order, np.cumsum(begins, dtype=np.int32)
 
 
 def _repeats_in(block: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    """block: (doc, p, n, bytes) of contexts. The starts whose string another start has earlier."""
-    joined = np.frombuffer(b"".join(x[3] for x in block), np.uint8)
-    sizes = np.array([len(x[3]) for x in block])
+    """block: (key, doc, p, n, bytes) of contexts. The starts whose string another start has earlier."""
+    joined = np.frombuffer(b"".join(x[4] for x in block), np.uint8)
+    sizes = np.array([len(x[4]) for x in block])
     at = np.concatenate([[0], np.cumsum(sizes + 1)])
-    symbols = np.zeros(at[-1], np.int64)  # 0 parts the contexts
+    symbols = np.zeros(at[-1], np.uint16)  # 0 parts the contexts
     inside = np.ones(at[-1], bool)
     inside[at[1:] - 1] = False
-    symbols[inside] = joined.astype(np.int64) + 1
+    symbols[inside] = joined.astype(np.uint16) + np.uint16(1)
     order, interval = extend_backwards(symbols, length)
-    number = np.empty(len(order), np.int64)
+    number = np.empty(len(order), np.int32)
     number[order] = interval
-    n = np.array([x[2] for x in block])
+    n = np.array([x[3] for x in block])
     which = np.repeat(np.arange(len(block)), n)
     shift = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    doc = np.array([x[0] for x in block], np.int64)[which]
-    p = np.array([x[1] for x in block], np.int64)[which] + shift
     own = number[at[:-1][which] + shift]
+    shared = np.bincount(own)[own] > 1
+    which, shift, own = which[shared], shift[shared], own[shared]
+    doc = np.array([x[1] for x in block], np.int64)[which]
+    p = np.array([x[2] for x in block], np.int64)[which] + shift
     line = np.lexsort((p, doc, own))
     doc, p, own = doc[line], p[line], own[line]
-    again = np.concatenate([[False], own[1:] == own[:-1]])
+    again = np.concatenate([[False], own[1:] == own[:-1]]) if len(own) else np.zeros(0, bool)
     doc, p = doc[again], p[again]
     line = np.lexsort((p, doc))
     doc, p, n = _ranges(doc[line], p[line], np.ones(len(line), np.int64))
     yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "p", "n"])
 
 
-def _compared(length: int):
+def may_share(block: list[tuple], length: int, gram: int) -> np.ndarray:
+    """block: (key, doc, p, n, bytes) of whole keys' contexts. Which of them may share a string of `length` bytes with another of their key.
+
+    Such a string has the key's gram, and PARTS bands of the bytes beside it: with so many bytes before the gram, or the
+    next number of them, it holds one of PARTS strings that lie at fixed places around the gram and are a
+    band shorter. A context none of whose strings occurs in another can't share more.
+    """
+    x = np.frombuffer(b"".join(r[4] for r in block), np.uint8)
+    sizes = np.array([len(r[4]) for r in block])
+    at = np.cumsum(sizes) - sizes
+    key = np.array([r[0] for r in block], np.int64)
+    band = -(-(length - gram) // PARTS)
+    width = length - band
+    owner = np.repeat(np.arange(len(block)), sizes)
+    grams = _mix(_rolling(x, gram, _A) + _A).view(np.int64)
+    hit = np.flatnonzero(grams == key[owner[: len(grams)]])
+    hit = hit[hit + gram <= (at + sizes)[owner[hit]]]
+    _, first = np.unique(owner[hit], return_index=True)
+    place = hit[first]  # the first of its grams made the context
+    if width < gram or len(place) < len(block):
+        return np.ones(len(block), bool)
+    names = _rolling(x, width, _B)
+    out = np.zeros(len(block), bool)
+    for k in range(PARTS):
+        low = place - k * band
+        inside = np.flatnonzero((low >= at) & (low + width <= at + sizes))
+        name = _mix(names[low[inside]]) ^ _mix(key[inside].view(np.uint64))
+        order = np.argsort(name)
+        same = name[order][1:] == name[order][:-1]
+        out[inside[order[1:][same]]] = True
+        out[inside[order[:-1][same]]] = True
+    return out
+
+
+def _compared(length: int, gram: int):
+    """Rows key, doc, p, n, context in order of keys: repeated starts. Blocks hold whole keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: list[tuple] = []
         block: list[tuple] = []
-        size, last = 0, None
+        size, held, last = 0, 0, None
         for batch in batches:
-            for key, doc, p, n, context in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last and size >= BLOCK:
-                    yield from _repeats_in(block, length)
-                    block, size = [], 0
-                block.append((doc, p, n, context))
-                size, last = size + len(context), key
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != last and size >= BLOCK:
+                    kept = [r for r, keep in zip(read, may_share(read, length, gram), strict=True) if keep]
+                    block, held = block + kept, held + sum(len(r[4]) for r in kept)
+                    read, size = [], 0
+                    if held >= BLOCK:
+                        yield from _repeats_in(block, length)
+                        block, held = [], 0
+                read.append(row)
+                size, last = size + len(row[4]), row[0]
+        if read:
+            block += [r for r, keep in zip(read, may_share(read, length, gram), strict=True) if keep]
         if block:
             yield from _repeats_in(block, length)
 
@@ -373,7 +450,7 @@ def _cut(rows: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     wanted = touched.filter(F.size("needs") > 0)
     shape = "key long, doc long, p int, n int, context binary"
     calm = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] <= crowd).alias("needs")).mapInArrow(_cut_out(length), shape)
-    new = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length), "doc long, p int, n int")
+    new = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length, gram), "doc long, p int, n int")
     if found.filter(F.col("crowd") > crowd).limit(1).count():
         crowded = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] > crowd).alias("needs")).mapInArrow(_cut_out(length), shape)
         new = new.unionByName(_reduced(crowded.mapInArrow(_one_by_one(length), ROWS)).filter("key is null").select("doc", "p", "n"))
