@@ -12,14 +12,12 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +28,13 @@ END = 2
 #: Rounds of the multiplicative weights in one solution, at least; few sizes get more.
 ROUNDS = 40
 #: Cached words of the tokeniser in one Python worker.
-CACHE = 400_000
+CACHE = 800_000
 #: Bytes of new words that are encoded together.
 JOINED = 8000
 
-#: The tokeniser's own division of a text into words, which it never merges across.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-
 
 class WordCache(dict):
-    """Words' ids as little-endian bytes. The vocabulary's file is opened where it is used."""
+    """Ids of words that follow a space, as little-endian bytes. The vocabulary's file is opened where it is used."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -55,52 +48,67 @@ class WordCache(dict):
         for token, number in known.items():
             self.widths[number] = len(token)
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts, as the tokeniser gives them without special tokens."""
-        split = [self.words(t) for t in texts]
-        found = [None if words is None else list(map(self.get, words)) for words in split]
-        new = list({w for words, got in zip(split, found, strict=True) if got and None in got for w, x in zip(words, got, strict=True) if x is None})
+    def encoded(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without nulls, each followed by `end`, in a row, and where each text's begin.
+
+        A space before anything but white space begins a new word, so texts are cut there, equal cuts are
+        found by Arrow, and ids are gathered. A text with a space before white space is left to the tokeniser.
+        """
+        cut = pc.split_pattern(texts, " ")
+        edges = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        edges, place = edges - edges[0], coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
+        heads = [words[k] for k in place[edges[:-1]].tolist()]
+        blank = pc.or_(pc.equal(pc.binary_length(coded.dictionary), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 0, 1)))
+        odd = blank.to_numpy(zero_copy_only=False)
+        texts_odd = np.flatnonzero(np.add.reduceat(odd[place], edges[:-1]) > odd[place[edges[:-1]]]) if len(heads) else np.zeros(0, np.int64)
+        for k in texts_odd.tolist():
+            heads[k] = texts[k].as_py()
+        found = list(map(self.get, words))
+        new = [k for k, x in enumerate(found) if x is None and not odd[k]]
         if len(self) + len(new) > CACHE:
             self.clear()
-        self.learn(new)
-        out = []
-        for text, words, got in zip(texts, split, found, strict=True):
-            if got is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif None in got:
-                out.append(b"".join([self[w] if x is None else x for w, x in zip(words, got, strict=True)]))
-            else:
-                out.append(b"".join(got))
-        return out
-
-    def learn(self, new: list[str]) -> None:
-        """Takes up new words. Those that begin with a space begin anew wherever they stand, so many are encoded as one text and
-        told apart by their tokens' widths."""
-        open_, alone = [], []
-        for w in new:
-            (open_ if len(w) > 1 and w[0] == " " and not w[1].isspace() else alone).append(w)
-        for word, got in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self[word] = np.array(got.ids, "<u4").tobytes()
-        ends = np.cumsum([len(w.encode()) for w in open_], dtype=np.int64)
+        for k, ids in zip(new, self.learned([words[k] for k in new]), strict=True):
+            found[k] = ids
+        entries = [x or b"" for x in found]
+        entries += [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False)]
+        entries.append(np.array([end], "<u4").tobytes())
+        # a text is its head, its other words and the end
+        place = place.copy()
+        place[edges[:-1]] = len(words) + np.arange(len(heads))
+        for k in texts_odd.tolist():
+            place[edges[k] + 1 : edges[k + 1]] = len(entries) - 1
+        sizes = np.fromiter(map(len, entries), np.int32, len(entries)) // 4
+        place = np.insert(place, edges[1:], len(entries) - 1)
+        count = sizes[place]
+        bounds = edges + np.arange(len(edges))
+        for k in texts_odd.tolist():
+            count[bounds[k] + 1 : bounds[k + 1] - 1] = 0
+        stops = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        flat = np.frombuffer(b"".join(entries), "<u4")
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        at = np.repeat(starts[place] - stops[:-1], count)
+        at += np.arange(stops[-1])
+        return flat[at], stops[bounds]
+
+    def learned(self, new: list[str]) -> list[bytes]:
+        """The ids of words that follow a space, which are kept. Such words begin anew wherever they stand, so many are encoded as one text
+        and told apart by their tokens' widths."""
+        ends = np.cumsum([len(w.encode()) + 1 for w in new], dtype=np.int64)
         low = 0
-        while low < len(open_):
+        out: list[bytes] = []
+        while low < len(new):
             before = int(ends[low - 1]) if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + JOINED, "right")))
-            (got,) = self.tokenizer.encode_batch_fast(["".join(open_[low:high])], add_special_tokens=False)
+            (got,) = self.tokenizer.encode_batch_fast([" " + " ".join(new[low:high])], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
+            raw = ids.tobytes()
             cuts = (4 * (np.searchsorted(np.cumsum(self.widths[ids]), ends[low:high] - before) + 1)).tolist()
-            raw, at = ids.tobytes(), 0
-            for word, to in zip(open_[low:high], cuts, strict=True):
-                self[word] = raw[at:to]
-                at = to
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
             low = high
-
-    @staticmethod
-    def words(text: str) -> list[str] | None:
-        """The tokeniser's words; None where they must be left to it."""
-        if text.isascii():
-            return _ASCII_WORDS.findall(text)
-        return None if _SEPARATORS.search(text) else _WORDS.findall(text)  # `regex` counts separators as white space
+        self.update(zip(new, out, strict=True))
+        return out
 
 
 @functools.cache
@@ -109,7 +117,7 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
-def _groups(sizes: list[int], rows: int = 64, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _groups(sizes: list[int], rows: int = 1 << 14, chars: int = 1 << 24) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded size; a longer text is alone."""
     low = held = 0
     for i, n in enumerate(sizes):
@@ -130,28 +138,25 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = word_cache(path), np.array([end], "<u4").tobytes()
+        cache = word_cache(path)
         for batch in batches:
-            at: list[int] = []
-            out: list[list] = [[] for _ in fields]
-            held = 0
-            sizes = [n or 0 for n in pc.binary_length(batch.column(1)).to_pylist()]
-            encoded = (x for low, high in _groups(sizes) for x in cache.encoded([t or "" for t in batch.column(1).slice(low, high - low).to_pylist()]))
-            for i, ids in enumerate(encoded):
-                ids += last
-                n = len(ids) // 4
-                first = n % length or length
-                edges = [0, *range(first, n + 1, length)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    at.append(i)
-                    part = ids[4 * a : 4 * b]
-                    for column, value in zip(out, (k, a, b - a, zlib.crc32(part), part), strict=False):
-                        column.append(value)
-                    held += len(part) * keep_ids
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, f[2]) for v, f in zip(out, fields, strict=True)]], ["doc_id", *[f[0] for f in fields]])
-                    at, out, held = [], [[] for _ in fields], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, f[2]) for v, f in zip(out, fields, strict=True)]], ["doc_id", *[f[0] for f in fields]])
+            ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+            for low, high in _groups(pc.binary_length(texts).to_pylist()):
+                tokens, edges = cache.encoded(texts.slice(low, high - low), end)
+                at: list[int] = []
+                out: list[list] = [[] for _ in fields]
+                raw = memoryview(tokens.astype("<u4")).cast("B")
+                for i, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False)):
+                    first = (b - a) % length or length
+                    for k, to in enumerate(range(a + first, b + 1, length)):
+                        since = to - length if k else a
+                        part = raw[4 * since : 4 * to]
+                        at.append(low + i)
+                        for column, value in zip(out, (k, since - a, to - since, zlib.crc32(part), part), strict=False):
+                            column.append(value)
+                if keep_ids:
+                    out[-1] = [bytes(x) for x in out[-1]]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(v, f[2]) for v, f in zip(out, fields, strict=True)]], ["doc_id", *[f[0] for f in fields]])
 
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{a} {b}" for a, b, _ in fields]]))
