@@ -44,6 +44,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*>",
     re.S | re.I,
 )
+_UNFINISHED = re.compile("<[a-zA-Z/!?]")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN_BY = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -106,10 +107,17 @@ def _asides(text: str) -> dict[int, int]:
 def parse(text: str) -> Page:
     """Block elements in page order, each after its parent, and the page's blocks of text with the node they stand in.
 
-    Never fails: broken markup is read as browsers do in the common cases (end tags left out, elements never closed).
+    Never fails: broken markup is read as browsers do in the common cases (end tags left out, elements never closed). A line break (br) ends a
+    block, as it ends a line of the page. Of what follows the last tag only an unfinished tag is left out.
     """
     page = Page([Node("html", -1)])
     stack, run, linked, in_link = [0], [], [], False
+    held: Counter[str] = Counter()
+
+    def pop() -> str:
+        tag = page.nodes[stack.pop()].tag
+        held[tag] -= 1
+        return tag
 
     def flush() -> None:
         nonlocal run, linked
@@ -150,20 +158,21 @@ def parse(text: str) -> Page:
             flush()
             in_link = False
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if page.nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+                if held[tag]:  # an end tag that ends nothing is passed over without a look at the stack
+                    while pop() != tag:
+                        pass
             else:
                 top = page.nodes[stack[-1]].tag
                 while len(stack) > 1 and (top == "p" or top in ENDS.get(tag, ()) or re.fullmatch("h[1-6]", top) and re.fullmatch("h[1-6]", tag)):
-                    stack.pop()
+                    pop()
                     top = page.nodes[stack[-1]].tag
                 rest = m["rest"]
                 page.nodes.append(Node(tag, stack[-1], _names(rest) if rest else (), bool(rest and _HIDDEN_BY.search(rest))))
                 if tag not in VOID and not rest.endswith("/"):
                     stack.append(len(page.nodes) - 1)
-    run.append(text[at:] if not text[at:].startswith("<") else "")
+                    held[tag] += 1
+    cut = _UNFINISHED.search(text, at)
+    run.append(text[at : cut.start() if cut else len(text)])
     flush()
     return page
 

@@ -59,3 +59,13 @@ def test_elements_left_open_cut_nothing():
     assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds") == ["so x=2 holds"]
     assert blocks("<p>a<script>if (x) { '<button>' }</script>b<p>c<style>d") == ["ab", "c"]
     assert len(blocks("<svg>" * 20000 + "<p>x")) == 1
+
+
+def test_text_after_the_last_tag():
+    for tail, want in [("5 < 6", "5 < 6"), ("<5 euros is cheap", "<5 euros is cheap"), ("x <5 euros", "x <5 euros"), ("a <b", "a "), ("a </p", "a ")]:
+        assert H.parse(f"<p>{tail}").blocks == [(1, want.strip())]
+
+
+def test_end_tags_that_end_nothing():
+    page = H.parse("<div><p>a</section></nav></p>b</div>" + "</td>" * 50_000 + "c")
+    assert [b for _, b in page.blocks] == ["a", "b", "c"]

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kindred.llm import fingerprints, licenses, mixing, packing, quality, sharding, warc
@@ -29,6 +30,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, []).count() == 0
 
 
+def test_warc_odd_ids_and_urls(spark, tmp_path):
+    long = "z" * 150
+    data = [(None, "http://a/\u00a0", long), (3, "http://b/\u3000", long), (3, " \t", long), (1, "http://c/\x85", ""), (1, None, None), (7, "", "q" * 100)]
+    files = warc.write_warc(spark.createDataFrame(data, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["record_type"], r["refers_to"] or 0) for r in warc.read_warc(spark, files, split_bytes=300).collect()))
+    assert got == sorted([(0, data[0][1], "revisit", 3), (3, data[1][1], "response", 0), (3, " \t", "response", 0), (1, data[3][1], "response", 0), (1, "", "response", 0), (7, "", "response", 0)])
+
+
 def test_warc_chance_magic(tmp_path):
     records = [warc.encode_record(i, None, bytes([0x1F, 0x8B, 0x08]) * 50 + np.random.default_rng(i).bytes(5000), "d", None, False) for i in range(5)]
     data = warc.MAGIC + b"junk" + b"".join(records)
@@ -63,6 +72,28 @@ def test_mixing(spark):
     assert {k: v for k, v in words.items() if v} == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
 
 
+def test_mixing_repeated_and_null_ids(spark):
+    data = [(1, "a b c d", "s"), (1, "e f", "s"), (None, "g h i", "s"), (None, None, None), (None, "j", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs).collect()
+    assert sorted(r["size"] for r in plan) == [0, 1, 2, 3, 4]
+    got = mixing.mix_documents(docs)
+    assert got.columns == docs.columns and sum(len((r["text"] or "").split()) for r in got.collect()) == sum(r["taken"] for r in plan)
+    assert mixing.mix_plan(docs.limit(0)).count() == 0
+
+
+def test_sharding_many_pairs_and_null_ids(spark):
+    data = [(i // 2 if i % 3 else None, f"document {i // 2:04d}") for i in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 3000 and len({(r["shard"], r["slot"]) for r in got}) == 3000
+    sizes, rows_ = Counter(), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        rows_[r["shard"]] = max(rows_[r["shard"]], r["slot"] + 1)
+    assert sum(rows_.values()) == 3000 and max(sizes.values()) - min(sizes.values()) <= 2 * 14 * 2
+    assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_targets(spark):
     t = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 1000), (None, 100)], "source string, total long")).collect()}
     assert t == {"a": 20.0, "b": pytest.approx(1445.0), None: 200.0}
@@ -154,6 +185,58 @@ def test_fingerprints_follow_edits(spark):
     assert near[0] == 1 and 0.8 < near[1] <= 1 and near[2] < near[1] and near[3] < near[2] and near[4] == 0
 
 
+def signature(text):
+    """Order MinHash by the plain rule: per slot the two k-mers that follow its point, in the order of the text."""
+    words = WORD.findall(text)
+    if any(len(w) > 64 for w in words):
+        words = [x for w in words for x in ([w[i : i + 8] for i in range(len(w) - 7)] if len(w) > 64 else [w])]
+
+    def hashed(*parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else int(x).to_bytes(8, "little", signed=True), seed=h)
+        return h
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    names = [signed(hashed(a, b)) >> 24 for a, b in zip(words, words[1:], strict=False)] or ([signed(hashed(text)) >> 24] if text else [])
+    seen, ranked = Counter(), []
+    for place, name in enumerate(names):
+        ranked.append(((hashed(name, seen[name]) >> 25 << 24) + place, place))
+        seen[name] += 1
+    ranked.sort()
+    out = []
+    for slot in range(64) if ranked else ():
+        i = next((k for k, (r, _) in enumerate(ranked) if r >> 57 >= slot), 0)
+        pair = sorted((ranked[i], ranked[(i + 1) % len(ranked)]), key=lambda x: x[1])
+        out.append((slot << 32) + (hashed(*[r >> 24 for r, _ in pair]) & 0xFFFFFFFF))
+    return out
+
+
+def test_signatures_against_the_rule(spark):
+    rng = np.random.default_rng(6)
+    texts = [r[1] for r in rows(20)] + ["a b", "a a a a", " ", "x" * 300, " ".join(f"w{k}" for k in rng.integers(0, 40, 900)), "".join(map(chr, rng.integers(97, 123, 200))) + " tail"]
+    got = fingerprints.with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "t", "fp").collect()
+    assert {r["i"]: r["fp"] for r in got} == {i: signature(t or "") for i, t in enumerate(texts)}
+
+
+def test_fingerprints_of_text_without_spaces(spark):
+    t = "".join(map(chr, np.random.default_rng(8).integers(97, 123, 3000)))
+    df = fingerprints.with_fingerprint(spark.createDataFrame([(t, "x" + t)], "t string, u string"), "t", "a")
+    assert fingerprints.with_fingerprint(df, "u", "b").select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0] >= 0.8
+
+
+@pytest.mark.parametrize("ids", [[*range(1200), 1 << 40], [f"d{i:05d}" for i in range(1300)], [None] * 700 + [5] * 600])
+def test_next_documents_by_any_ids(spark, ids):
+    kind = "string" if isinstance(ids[0], str) else "long"
+    docs = spark.createDataFrame([(d, f"{i:05d} text") for i, d in enumerate(ids)], f"doc_id {kind}, text string")
+    got = Counter((r["doc_id"], r["edited"]) for r in fingerprints.fingerprint_with_next(docs).collect())
+    order = sorted(enumerate(ids), key=lambda x: (x[1] is not None, x[1] if x[1] is not None else 0), reverse=True)
+    if ids[0] is None:
+        order = sorted(enumerate(ids), key=lambda x: (x[1] is None, x[0]))
+    want = Counter((d, f"{i:05d} text"[:5] + f"{order[(k + 1) % len(order)][0]:05d} text"[:5]) for k, (i, d) in enumerate(order))
+    assert got == want
+
+
 def test_fingerprints_empty(spark):
     assert fingerprints.fingerprint_with_next(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -209,6 +292,25 @@ def test_plans_hold_every_piece_once(seed):
     assert sum(m for _, m in plan) <= 1.02 * sum(n * m for n, m in histogram.items()) / 1024 + 2
 
 
+@pytest.mark.parametrize("histogram", [{s: 1 for s in range(3, 1024, 3)}, {341: 100, 683: 100, 500: 10}, {700: 500, 600: 500, 5: 3000, 9: 1000}, {1: 7}, {400: 1000, 300: 1000, 324: 1000}])
+def test_plans_come_near_the_bound(histogram):
+    """As few sequences as all tokens, or all pieces beyond half a sequence, need."""
+    plan = packing.plan_packing(histogram)
+    assert sum(m for _, m in plan) == max(-(-sum(n * m for n, m in histogram.items()) // 1024), sum(m for n, m in histogram.items() if n > 512))
+
+
+def test_configurations_bound():
+    """Fractional uses lie between the lower bound and little more, and keep to the counts."""
+    rng = np.random.default_rng(2)
+    sizes = np.unique(rng.integers(1, 1024, 60))
+    counts = rng.integers(1, 500, len(sizes))
+    used, bound = packing.solve_configurations(sizes, counts, 1024)
+    configs = np.array([np.frombuffer(k, np.int16) for k in used], np.int64)
+    covered = np.array(list(used.values())) @ configs / counts
+    assert (configs @ sizes <= 1024).all() and (configs <= counts).all()
+    assert bound >= (sizes * counts).sum() / 1024 * 0.99 and bound <= sum(used.values()) / covered.min() <= 1.15 * bound
+
+
 @pytest.mark.parametrize(("histogram", "most"), [({1: 100_000}, 98), ({5: 50_000}, 248), ({9: 50_000}, 445), ({600: 3000, 200: 6000}, 3000), ({600: 10, 200: 15}, 10)])
 def test_plans_fill_gaps(histogram, most):
     plan = packing.plan_packing(histogram)
