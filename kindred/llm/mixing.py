@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hex_bucket, hex_digits, materialise, n_words, read
+from .common import hex_bucket, hex_digits, materialise, n_words, numbered, read
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -41,10 +41,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
     """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken.
 
-    Null texts have size 0, null sources are a source of their own, null ids are keyed as one; rows that repeat
-    an id count each. No rows: no rows. Runs agree, as keys depend on the id and the seed alone.
+    Null texts have size 0, null sources are a source of their own, null ids are one id; rows that repeat
+    an id count each. No rows: no rows. Runs agree, as keys depend on the id, the text and the seed alone.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     base = materialise(base, "mix")
     digits = hex_digits(base.count())
@@ -65,8 +65,12 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: docs' columns, a row for each epoch of a document; the one document of a source that its
     budget cuts through ends after its last taken word. Rows that take no words are not in the mix; documents without
-    words have nothing to take and stay as they are. Expects an id per row: rows that repeat an id share its plan once.
+    words have nothing to take and stay as they are. Rows that repeat an id, or have none, are planned each.
     """
+    columns = docs.columns
+    _, own = numbered(docs, id_col, text_col)
+    if own is not None:
+        docs, id_col = own, "__doc"
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
     rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col("__id")))
@@ -76,7 +80,7 @@ def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), left.cast("int")), "")
     whole = (F.col("__size") == 0) | (left >= F.col("__size"))
     rows = rows.withColumn("__text", F.when(whole, F.col(text_col)).otherwise(cut))
-    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return rows.select(*[F.col("__text").alias(c) if c == text_col else F.length("__text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +89,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
+                  md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM s),
 w AS (SELECT *, [3, 1, 2][((n - 1) % 3 + 1)::INT]::BIGINT AS w, 2 * total AS cap FROM r),
