@@ -95,24 +95,30 @@ def hex_digits(rows: int, per_bucket: int = 20_000) -> int:
     return digits
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """doc, text with unique numbers in the order of the ids; and, unless ids are numbers already, docs with column __doc.
+def in_order(docs: DataFrame, id_col: str, text_col: str, *, descending: bool = False) -> DataFrame:
+    """docs with column __doc, the row's number from 0 in the order of ids of any type, nulls last.
 
-    Null ids come last; rows that share an id stand in the order of their texts' first characters, then of a hash of the text. Rows are dealt to
-    tasks by range of these; a task's rows are numbered from the number of rows before it.
+    Rows that share an id stand in the order of their texts' first characters, then of a hash of the text. Rows are dealt to
+    tasks by range of these; a task's rows are numbered from the number of rows before it. Equal rows may be parted.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
-    kind = dict(docs.dtypes)[id_col]
-    if kind in ("tinyint", "smallint", "int", "bigint") and not keys.limit(1).count():
-        return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")), None
-    order = [F.col(id_col).asc_nulls_last(), F.substring(text, 1, 32), F.xxhash64(text), F.monotonically_increasing_id()]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    by = F.col(id_col).desc_nulls_last() if descending else F.col(id_col).asc_nulls_last()
+    order = [by, F.substring(text, 1, 32), F.xxhash64(text), F.monotonically_increasing_id()]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order[:3])
-    rows = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    part = lambda c: F.shiftright(F.col(c), 33)
+    rows = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright(F.col("__at"), 33)
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = rows.groupBy(part("__at").alias("__part")).count().select("__part", before.alias("__before"))  # a row per task
-    out = rows.join(F.broadcast(offsets), part("__at") == F.col("__part"))
-    out = out.select(*docs.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("__doc"))
-    return out.select(F.col("__doc").alias("doc"), text.alias("text")), out
+    offsets = rows.groupBy(part.alias("__part")).count().select("__part", before.alias("__before"))  # a row per task
+    out = rows.join(F.broadcast(offsets), part == F.col("__part"))
+    return out.select(*docs.columns, (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("__doc"))
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc, text with unique numbers in the order of the ids; and, unless ids are numbers already, docs with column __doc (see in_order)."""
+    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    keys = docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull())
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint") and not keys.limit(1).count():
+        return docs.select(F.col(id_col).cast("long").alias("doc"), text), None
+    out = in_order(docs, id_col, text_col)
+    return out.select(F.col("__doc").alias("doc"), text), out

@@ -1,9 +1,11 @@
 """Document fingerprints by order MinHash, in DataFrame operations alone.
 
 K-mers are runs of K words, numbered by occurrence, so that the second of two equal ones is another
-than the first. One hash deals the numbered k-mers to SLOTS slots and ranks them there; a slot takes the TUPLE least, puts
-them back into the order of the text and hashes the tuple. Texts with the same k-mers in another
+than the first. One hash ranks the numbered k-mers on a circle, on which SLOTS points lie at equal distances; a slot takes the
+TUPLE k-mers that follow its point, puts them back into the order of the text and hashes them. So every slot has a whole tuple, also
+where a text has fewer k-mers than there are slots. Texts with the same k-mers in another
 order agree in few slots, which makes the share of equal slots follow edit distance rather than overlap.
+Words longer than LONGEST are taken as the overlapping runs of GRAM characters in them, so that an edit changes a few of these only.
 """
 
 from __future__ import annotations
@@ -11,17 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import WORD, in_order, let, read
 
 K = 2
 SLOTS = 64
 TUPLE = 2
 #: Low bits of a packed number that hold a k-mer's place.
 PLACE = 24
-#: Documents in a bucket of neighbouring ids, at least.
+#: Documents in a bucket of neighbours in the order of ids.
 BUCKET = 500
-CELLS = 4096
-_TOKEN = r"[^\x20\x09-\x0D]{1,64}"
+#: Characters of the longest word that is taken whole, and of the runs in longer ones.
+LONGEST, GRAM = 64, 8
 _LOW = (1 << PLACE) - 1
 
 
@@ -30,15 +32,19 @@ def _at(array: str, i: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the column `out`: an array of longs in order, slot in the high bits and the tuple's 32-bit hash in the low, for slots that have any.
+    """df with the column `out`: an array of SLOTS longs in order, slot in the high bits and the tuple's 32-bit hash in the low.
 
     Null is an empty text, whose fingerprint is empty. Texts of white space or of fewer than K words have one k-mer,
-    the whole. Each step is a projection of its own, so that arrays are made once and not again for each element.
+    the whole. K-mers are named by 40 bits; beyond 2 ** 24 words the places of k-mers begin anew. Each step is a projection of its own, so that arrays are made once and not again for each element.
     """
     keep = df.columns
-    tokens, sorted_, starts, packed, least = (f"__{x}" for x in "tsfpq")
+    tokens, sorted_, starts, packed = (f"__{x}" for x in "tsfp")
     whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(*keep, F.regexp_extract_all(whole, F.lit(_TOKEN), F.lit(0)).alias(tokens))
+    df = df.select(*keep, F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)).alias(tokens))
+    long = lambda w: F.length(w) > LONGEST
+    grams = lambda w: let(F.split(w, ""), lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - GRAM), lambda i: F.concat(*[F.coalesce(F.get(c, (i + k).cast("int")), F.lit("")) for k in range(GRAM)])))
+    cut = F.flatten(F.transform(F.col(tokens), lambda w: F.when(long(w), grams(w)).otherwise(F.array(w))))
+    df = df.select(*keep, F.when(F.exists(tokens, long), cut).otherwise(F.col(tokens)).alias(tokens))
     n = F.size(tokens)
     place = lambda i: F.lit(_LOW).cast("long").bitwiseAND(i.cast("long"))
     pack = lambda h, i: h.bitwiseAND(F.lit(~_LOW).cast("long")).bitwiseOR(place(i))
@@ -56,81 +62,58 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     numbered = F.flatten(F.transform(F.col(starts), lambda f, r: F.transform(F.sequence(f, end(r)), lambda j: rank(_at(sorted_, j), j - f))))
     once = F.transform(F.col(sorted_), lambda x: rank(x, F.lit(0)))
     df = df.select(*keep, F.sort_array(F.when(F.size(starts) == m, once).otherwise(numbered)).alias(packed))
-    slot = lambda x: F.shiftright(x, 63 - (SLOTS - 1).bit_length())
-    df = df.select(*keep, F.filter(F.col(packed), lambda x, j: (j < TUPLE) | (slot(x) != slot(_at(packed, j - TUPLE))) | (F.size(packed) < 0)).alias(least))
-    return df.select(*keep, _tuples(least, slot).alias(out))
+    return df.select(*keep, _tuples(packed).alias(out))
+
 
+def _tuples(packed: str) -> Column:
+    """For each slot the two k-mers that follow its point on the circle, in the order of the text, hashed. packed: ranked k-mers, sorted.
 
-def _tuples(least: str, slot) -> Column:
-    """For each first of a slot: the pair in the order of the text, or the one that there is, hashed."""
-    here = F.col(least)
-    low = F.lit(_LOW).cast("long")
+    The first k-mer after a point is found where slots change; it serves all slots that are passed there.
+    """
+    here, low = F.col(packed), F.lit(_LOW).cast("long")
     value = lambda x: F.shiftright(x, PLACE)
+    slot = lambda x: F.shiftright(x, 63 - (SLOTS - 1).bit_length())
+    before = lambda j: F.when(j == 0, F.lit(-1).cast("long")).otherwise(slot(_at(packed, j - 1)))
 
     def hashed(x: Column, j: Column) -> Column:
-        y = _at(least, j + 1)
-        pair = (j + 1 < F.size(least)) & (slot(x) == slot(y))
-        forward = x.bitwiseAND(low) < y.bitwiseAND(low)
-        both = F.when(~pair, F.xxhash64(value(x))).when(forward, F.xxhash64(value(x), value(y))).otherwise(F.xxhash64(value(y), value(x)))
-        return F.shiftleft(slot(x), 32).bitwiseOR(both.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+        y = _at(packed, F.when(j + 1 < F.size(here), j + 1).otherwise(F.lit(0)))
+        forward = x.bitwiseAND(low) <= y.bitwiseAND(low)
+        both = F.when(forward, F.xxhash64(value(x), value(y))).otherwise(F.xxhash64(value(y), value(x)))
+        return both.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
-    first = lambda x, j: (j == 0) | (slot(x) != slot(_at(least, j - 1)))
-    return F.filter(F.transform(here, lambda x, j: F.when(first(x, j), hashed(x, j)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0)
+    first = lambda x, j: F.when(slot(x) != before(j), F.array_repeat(hashed(x, j), (slot(x) - before(j)).cast("int")))
+    runs = F.flatten(F.filter(F.transform(here, first), lambda r: r.isNotNull()))
+    # past the last k-mer the circle begins anew
+    whole = let(runs, lambda r: F.concat(r, F.array_repeat(F.get(r, F.lit(0)), F.lit(SLOTS) - F.size(r))))
+    return F.when(F.size(here) > 0, F.transform(whole, lambda h, s: F.shiftleft(s.cast("long"), 32).bitwiseOR(h))).otherwise(F.array().cast("array<bigint>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal slots by slots that either has; 1 for two empty fingerprints."""
-    slots = lambda x: F.transform(x, lambda v: F.shiftright(v, 32))
-    either = F.size(F.array_union(slots(a), slots(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))
+    """The share of equal slots; 1 for two empty fingerprints, 0 where one is."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.lit(SLOTS))
 
 
 def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda v: F.lpad(F.lower(F.hex(v)), 10, "0")), "")
 
 
-def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = BUCKET) -> Column:
-    """Number of the bucket of neighbouring ids that a row falls in: equal cells of the range of ids, each split by its own count.
-
-    Takes two passes over the ids and CELLS numbers on the driver. Null ids are in bucket -1.
-    """
-    low, high, rows = docs.agg(F.min(id_col), F.max(id_col), F.count(id_col)).first()
-    if not rows:
-        return F.lit(-1).cast("long")
-    per_bucket = max(per_bucket, rows // 100_000)
-    width = (int(high) - int(low)) // CELLS + 1
-    cell = F.expr(f"cast((`{id_col}` - {int(low)}L) div {width}L as int)")
-    counts = dict(docs.filter(F.col(id_col).isNotNull()).groupBy(cell.alias("c")).count().collect())
-    parts = [max(1, -(-counts.get(c, 0) // per_bucket)) for c in range(CELLS)]
-    base, total = [], 0
-    for p in parts:
-        base.append(total)
-        total += p
-    longs = lambda v: F.array(*[F.lit(x).cast("long") for x in v]) if len(set(v)) > 1 else None
-    pick = lambda v: F.element_at(longs(v), cell + 1) if longs(v) is not None else F.lit(v[0]).cast("long")
-    within = (F.col(id_col) - low - cell.cast("long") * width) * pick(parts)
-    return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(pick(base) + F.floor(within / width).cast("long"))
-
-
 def fingerprint_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every text's fingerprint, and likeness to its edited text and to the next document's fingerprint, in descending order of ids.
 
-    doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint (arrays), near_edited, near_next. Null ids come last, rows that repeat an id
-    in the order of their texts; after the last row comes the first, which for one row is itself.
-    Buckets of neighbouring ids are shuffled once; each also gets the row that follows its last one.
+    doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint (arrays), near_edited, near_next. Ids may be of any type that has an order;
+    null ids come last, rows that repeat an id in the order of their texts' first characters, then of a hash; after the last row comes the first, which
+    for one row is itself. Rows are numbered in that order; BUCKET neighbours are shuffled together, with the row that follows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket = id_buckets(rows, "doc_id")
-    # at most 100,000 buckets and a few: a row each with its greatest id and the bucket before it in the order
-    tops = rows.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top"))
-    whole = Window.partitionBy()
-    up = F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(whole))
-    tops = tops.select(F.col("bucket").alias("of"), "top", up.alias("up"))
-    df = with_fingerprint(rows.withColumn("bucket", bucket), "text", "fp")
-    df = df.join(F.broadcast(tops), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
-    places = F.when(F.col("of").isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("up").alias("b"), F.lit(True).alias("guest"))))
-    df = df.select("doc_id", "text", "fp", F.inline(places))
-    order = Window.partitionBy("b").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
+    rows = in_order(rows, "doc_id", "text", descending=True)
+    last = rows.agg(F.max("__doc")).first()[0] or 0
+    df = with_fingerprint(rows, "text", "fp")
+    own = F.struct(F.expr(f"__doc div {BUCKET}").alias("b"), F.col("__doc").alias("place"), F.lit(False).alias("guest"))
+    # the first row of a bucket also follows the last of the bucket before, the very first the very last
+    at = F.when(F.col("__doc") == 0, F.lit(last + 1)).otherwise(F.col("__doc"))
+    guest = F.struct(F.floor((at - 1) / BUCKET).cast("long").alias("b"), at.cast("long").alias("place"), F.lit(True).alias("guest"))
+    df = df.select("doc_id", "text", "fp", F.inline(F.when(F.col("__doc") % BUCKET == 0, F.array(own, guest)).otherwise(F.array(own))))
+    order = Window.partitionBy("b").orderBy("place")
     df = df.withColumn("next", F.lead(F.struct("text", "fp")).over(order)).filter(~F.col("guest"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
