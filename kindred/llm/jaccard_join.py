@@ -6,11 +6,12 @@ so with k blocks, more than the greatest difference in a band of sizes, similar
 k - d blocks or more. Blocks are very wide and sparse, so each is kept as the XOR of 64-bit names of its set bits.
 Equal blocks under one scheme meet in a bucket.
 
-Each set also has a narrow parity sketch of a bit or two for each shingle, whose Hamming distance bounds the
+Each set also has a narrow parity sketch of about a bit for each shingle, whose Hamming distance bounds the
 difference of two sets from below: it rules out nearly all pairs that aren't linked before any text moves.
 First the others of a bucket are paired with its first, and each document is tested against the nearest of these, which links most of a
 group of near copies with as many tests as it has members. Only buckets that still hold two components or more go on. Of small ones
-the pairs across components are tested. Members of large ones meet in blocks of bounded size; of two components the nearest
+the pairs across components are tested. Similar sets agree in several blocks, so a document can do without some of its large
+buckets, and drops the largest. Members of the rest meet in blocks of bounded size; of two components the nearest
 pairs are tested first, and more in each round until no pair is left that could join two components. What is tested is compared
 shingle by shingle, so the ways of small and large buckets give one result.
 """
@@ -96,7 +97,7 @@ def scheme(percent: int, top: int) -> tuple[int, int, int]:
     d = (top + top * 100 // percent) * (100 - percent) // (100 + percent)
     if not d:
         return 1, 0, 0
-    part, weak = (8, 2) if top >= 7 * d else (3, 1)
+    part, weak = (8, 2) if top >= 7 * d else (3, 0)
     spare = -(-(d + 1) // part)
     return d + 1 + spare, spare, weak
 
@@ -109,12 +110,20 @@ def _band_sizes(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(which set, key) of the blocks by which similar sets are sure to meet."""
+    return blocks_of(sets, percent)[:2]
+
+
+def blocks_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which set, key, back) of the blocks by which similar sets are sure to meet: those of the set's own band of sizes, and with
+    back = 1 those of the band before, for smaller sets. And the slack of each set for back 0 and 1: sets similar to it agree with it
+    in more than so many of the blocks that both give."""
     n = np.array([len(s) for s in sets])
+    slack = np.zeros((len(sets), 2), np.int64)
     if not n.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), slack
     band, edges = _band_sizes(n, percent)
     flat = np.concatenate(sets)
-    which_out, key_out = [], []
+    which_out, key_out, back_out = [], [], []
     for back in (0, 1):
         own = band - back  # the band of the smaller of a pair
         plans = {b: scheme(percent, int(edges[b + 1]) - 1) for b in set(own.tolist()) if b >= 0}
@@ -136,13 +145,16 @@ def block_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
         sketch[full] = np.bitwise_xor.reduceat(_mix(h[order] + np.uint64(0x51)), at[full])
         owner = np.repeat(np.arange(len(n)), k)
         weak = count <= few[owner]
-        many = np.bincount(owner[weak], minlength=len(n)) > spare
+        n_weak = np.bincount(owner[weak], minlength=len(n))
+        many = n_weak > spare
+        slack[:, back] = np.where(many, 0, spare - n_weak)
         emit = ~weak | many[owner]
         number = np.arange(len(count)) - base[owner]
         salt = _mix((own[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64))
         which_out.append(owner[emit])
         key_out.append(_mix(sketch[emit] ^ salt[emit]))
-    return np.concatenate(which_out), np.concatenate(key_out)
+        back_out.append(np.full(len(which_out[-1]), back))
+    return np.concatenate(which_out), np.concatenate(key_out), np.concatenate(back_out), slack
 
 
 def _chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
@@ -158,8 +170,8 @@ def _chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
 
 
 def _bits(n: int) -> int:
-    """Bits of the sketch of a set of n shingles: a power of two, and no fewer than it has shingles."""
-    return 1 << max(6, (n - 1).bit_length())
+    """Bits of the sketch of a set of n shingles: a power of two, more than half as many as it has shingles."""
+    return 1 << max(6, (n - 1).bit_length() - 1)
 
 
 def parity(s: np.ndarray, bits: int = BITS) -> bytes:
@@ -176,12 +188,12 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
 
 
 def _sketched(size: int, percent: int):
-    """(doc, n, rep, key, sketch): a row per document with its representative among equal sets of the batch and, for a representative,
-    its parity sketch; and rows of block keys, without either."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    """(doc, n, rep, key, sketch, slack): a row per document with its representative among equal sets of the batch and, for a
+    representative, its parity sketch and slacks (that of back 1 in the high half); and rows of block keys, which have none of these, n below 0 for back 1."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 
     def rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc", "n", "rep", "key", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc", "n", "rep", "key", "sketch", "slack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
@@ -204,11 +216,12 @@ def _sketched(size: int, percent: int):
                     for column, value in zip(out, (docs[i], len(s), rep, sketch), strict=True):
                         column.append(value)
                 names.trim()
-                yield rows(*out[:3], _mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64), out[3])
-                which, key = block_keys(sets, percent) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                which, key, back, slack = blocks_of(sets, percent)
+                packed = dict(zip(own, (slack[:, 0] + (slack[:, 1] << 32)).tolist(), strict=True))
+                yield rows(*out[:3], _mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64), out[3], [packed.get(d) if d == r else None for d, r in zip(out[0], out[2], strict=True)])
                 if len(which):
-                    none = pa.nulls(len(which), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.array(own, np.int64)[which]), pa.array(np.array([len(s) for s in sets], np.int64)[which]), none, pa.array(key.view(np.int64)), pa.nulls(len(which), pa.binary())], ["doc", "n", "rep", "key", "sketch"])
+                    n, none = np.array([len(s) for s in sets], np.int64)[which], pa.nulls(len(which), pa.int64())
+                    yield rows(np.array(own, np.int64)[which], np.where(back == 1, -n, n), none, key.view(np.int64), pa.nulls(len(which), pa.binary()), none)
 
     return run
 
@@ -301,11 +314,13 @@ def candidates_across(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, p
 
 
 def _crossed(percent: int, most: int):
-    """Rows of blocks (key, x, y, block, doc, n, component, sketch) in order: candidate pairs; nulls where there are more."""
+    """Rows of blocks (key, x, y, block, doc, n, component, sketch) in order: candidate pairs a, b, each once of a task as far as it remembers;
+    and keys that hold more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         at = None
+        seen: set[tuple[int, int]] = set()
 
         def pairs() -> pa.RecordBatch:
             cut = sum(r[0] == at[1] for r in held) if at[1] != at[2] else 0
@@ -314,8 +329,12 @@ def _crossed(percent: int, most: int):
                 words = min(len(r[4]) for r in held) // 8
                 sketches = np.stack([folded(np.frombuffer(r[4], np.uint64), words) for r in held])
                 found, more = candidates_across(sketches, np.array([r[2] for r in held]), np.array([r[3] for r in held]), percent, most, cut)
-            ends = [sorted((held[i][1], held[j][1])) for i, j in found] + [[None, None]] * more
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+            ends = [p for p in {(min(p), max(p)) for p in ((held[i][1], held[j][1]) for i, j in found)} if p not in seen]
+            if len(seen) > 1_000_000:
+                seen.clear()
+            seen.update(ends)
+            rows = [(*p, None) for p in ends] + [(None, None, at[0])] * more
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["a", "b", "key"])
 
         for batch in batches:
             for key, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -338,16 +357,16 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc (unique), text. doc, n, rep of all; node, component of representatives that have links."""
-    sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long, sketch binary")
+    sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long, sketch binary, slack long")
     # rows of documents go through the same shuffle under keys of their own; both windows have one order, so there is one sort
     bucket = Window.partitionBy("key", "base")
     keyed = sketched.withColumn("base", F.col("rep").isNotNull())
     found = keyed.select("*", F.count(F.lit(1)).over(bucket).alias("many"), F.min(F.struct("doc", "n")).over(bucket).alias("first"))
     with small_batches(rows.sparkSession):
-        found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.col("first.n").alias("n1"), "sketch"), "jaccard-found")
+        found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.abs("first.n").alias("n1"), "sketch", "slack"), "jaccard-found")
     base = materialise(found.filter("rep is not null").select("doc", "n", "rep"), "jaccard-base")
     sketches = found.filter("sketch is not null").select("doc", "n", "sketch")
-    members = found.filter("rep is null").select("key", "doc", "n", "first", "n1")
+    members = found.filter("rep is null").select("key", "doc", F.abs("n").alias("n"), (F.col("n") < 0).alias("back"), "first", "n1")
     sized = lambda p, q: F.least(p, q) * 100 >= F.greatest(p, q) * percent
     pairs = members.filter((F.col("doc") != F.col("first")) & sized(F.col("n"), F.col("n1"))).select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
     with_first = materialise(_allowed(pairs, sketches, percent), "jaccard-first")
@@ -355,7 +374,7 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     tested = materialise(_tested(nearest, rows, size, percent), "jaccard-tested")
     labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
     by = Window.partitionBy("key")
-    left = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+    left = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "back", F.coalesce("component", "doc").alias("component"))
     left = left.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("m", F.count(F.lit(1)).over(by))
     left = materialise(left.filter("low < high").drop("low", "high"), "jaccard-left")
     small = left.filter(F.col("m") <= SMALL)
@@ -369,30 +388,40 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
         discard(old)
     discard(again, with_first)
-    # large buckets: every two blocks of one meet
-    large = left.filter(F.col("m") > SMALL).withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
+    # sets alike agree in more blocks than each one's slack; so each may do without so many of its unsettled large buckets, the largest
+    # ones, as the smallest in which they agree is left to both
+    slack = found.filter("slack is not null").select("doc", F.col("slack").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("s0"), F.shiftright("slack", 32).alias("s1"))
+    large = left.filter(F.col("m") > SMALL).join(slack, "doc").withColumn("place", F.row_number().over(Window.partitionBy("doc", "back").orderBy(F.col("m").desc(), "key")))
+    large = large.filter(F.col("place") > F.when(F.col("back"), F.col("s1")).otherwise(F.col("s0"))).select("key", "doc", "n", "component")
+    large = large.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).withColumn("m", F.count(F.lit(1)).over(by))
+    # in the others every two blocks of members meet
+    large = large.filter("low < high").withColumn("blocks", F.ceil(F.col("m") / BLOCK_ROWS).cast("int"))
     large = large.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    large = materialise(large.select("key", "doc", "n", "blocks", "block").join(sketches.select("doc", "sketch"), "doc"), "jaccard-large")
+    large = materialise(large.select("key", "doc", "n", "blocks", "block"), "jaccard-large")
+    sketches = materialise(sketches.select("doc", "sketch").join(large.select("doc").distinct(), "doc", "left_semi"), "jaccard-sketches")
     discard(left, found)
-    most = 4
+    most, open_ = 64, large
     while True:
-        now = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        now = open_.join(sketches, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         now = now.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "n", F.coalesce("component", "doc").alias("component"), "sketch")
         now = now.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
-        found = materialise(now.mapInArrow(_crossed(percent, most), "a long, b long").distinct(), "jaccard-candidates")
-        more = found.filter("a is null").limit(1).count()
-        new = materialise(found.filter("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-new")
-        done = not more
+        found = materialise(now.mapInArrow(_crossed(percent, most), "a long, b long, key long").distinct(), "jaccard-candidates")
+        new = materialise(found.filter("a is not null").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-new")
         if new.limit(1).count():
             old, tested = tested, materialise(tested.unionByName(_tested(new, rows, size, percent)), "jaccard-tested")
             labels = components(tested.filter("linked").select("a", "b"), "jaccard-components")
             discard(old)
-            done = False
-        discard(found, new)
-        if done:
-            discard(large, tested)
+        # buckets that held more pairs than were asked for are looked at once more
+        more = materialise(found.filter("key is not null").select("key").distinct(), "jaccard-more")
+        again = more.limit(1).count()
+        old, open_ = open_, materialise(open_.join(more, "key", "left_semi"), "jaccard-open") if again else large
+        discard(found, new, more)
+        if old is not large:
+            discard(old)
+        if not again:
+            discard(large, sketches, tested)
             return base, labels
-        most *= 4
+        most *= 16
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
