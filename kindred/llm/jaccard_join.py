@@ -6,7 +6,7 @@ so with k blocks, more than the greatest difference in a band of sizes, similar
 k - d blocks or more. Blocks are very wide and sparse, so each is kept as the XOR of 64-bit names of its set bits.
 Equal blocks under one scheme meet in a bucket.
 
-Each set also has a narrow parity sketch of about a bit for each shingle, whose Hamming distance bounds the
+Each set also has a narrow parity sketch of two to four bits for each shingle, whose Hamming distance bounds the
 difference of two sets from below: it rules out nearly all pairs that aren't linked before any text moves.
 First the others of a bucket are paired with its first, and each document is tested against the nearest of these, which links most of a
 group of near copies with as many tests as it has members. Only buckets that still hold two components or more go on. Of small ones
@@ -41,6 +41,8 @@ SMALL = 8
 BLOCK_ROWS, BITS = 1024, 2048
 #: Pairs of one first document that are tested together.
 GROUP = 256
+#: Rows of three numbers that are broadcast at most.
+SENT = 200_000
 #: Documents, and characters, whose shingles are held at once (a longer text is alone).
 CHUNK, CHUNK_CHARS = 500, 2_000_000
 
@@ -170,8 +172,8 @@ def _chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
 
 
 def _bits(n: int) -> int:
-    """Bits of the sketch of a set of n shingles: a power of two, more than half as many as it has shingles."""
-    return 1 << max(6, (n - 1).bit_length() - 1)
+    """Bits of the sketch of a set of n shingles: a power of two, twice as many as it has shingles or more."""
+    return 1 << max(6, (n - 1).bit_length() + 1)
 
 
 def parity(s: np.ndarray, bits: int = BITS) -> bytes:
@@ -287,7 +289,9 @@ def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
     dealt = pairs.join(many, "a").select(F.col("a").alias("g"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     wanted = dealt.select("g", "part", F.col("g").alias("doc")).distinct().unionByName(dealt.select("g", "part", F.col("b").alias("doc")))
-    rows = wanted.join(texts, "doc").select("g", "part", "doc", "text")
+    wanted = materialise(wanted, "jaccard-wanted")
+    # a short list of documents goes to the texts; beyond that both are shuffled
+    rows = (F.broadcast(wanted) if wanted.count() <= SENT else wanted).join(texts, "doc").select("g", "part", "doc", "text")
     rows = rows.repartition("g", "part").sortWithinPartitions("g", "part", F.col("doc") != F.col("g"))
     return rows.mapInArrow(_verified(size, percent), "a long, b long, linked boolean")
 
@@ -400,7 +404,7 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     large = materialise(large.select("key", "doc", "n", "blocks", "block"), "jaccard-large")
     sketches = materialise(sketches.select("doc", "sketch").join(large.select("doc").distinct(), "doc", "left_semi"), "jaccard-sketches")
     discard(left, found)
-    most, open_ = 64, large
+    most, open_ = 4, large
     while True:
         now = open_.join(sketches, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         now = now.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "n", F.coalesce("component", "doc").alias("component"), "sketch")
