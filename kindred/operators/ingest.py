@@ -64,10 +64,14 @@ def renumber(rows: DataFrame, order_col: str, id_col: str, name_col: str, patter
 def crawl(edges: DataFrame, seeds: list[tuple[str, int]], bad: str | None = None) -> DataFrame:
     """node, left: what is reached from seeds (name, depth) along edges parent, child, with the most depth left.
 
-    A level-by-level traversal: rounds are bounded by the largest depth; categories whose lower-cased names match `bad` are not entered.
+    A level-by-level traversal: rounds are bounded by the largest depth; categories whose lower-cased names match `bad` are not entered, seeds
+    neither. Where a category is reached in several ways the greatest depth counts, whatever the order of seeds.
     """
     spark = edges.sparkSession
-    reached = spark.createDataFrame(seeds, "node string, left int").groupBy("node").agg(F.max("left").alias("left"))
+    start = spark.createDataFrame(seeds, "node string, left int")
+    if bad:
+        start = start.filter(~F.lower("node").rlike(bad))
+    reached = start.groupBy("node").agg(F.max("left").alias("left"))
     frontier = reached
     for _ in range(max([d for _, d in seeds], default=0)):
         step = frontier.filter("left > 0").join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node"), (F.col("left") - 1).alias("left"))

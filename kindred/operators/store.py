@@ -44,10 +44,11 @@ def upsert_images(old: DataFrame, new: DataFrame, key: str = "filename", id_col:
     return both.withColumn("__place", place).crossJoin(F.broadcast(most)).select(*[pick[c].cast(old.schema[c].dataType).alias(c) for c in old.columns])
 
 
-def latest_wins(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows by key, new before old; of several new rows any one."""
+def latest_wins(old: DataFrame, new: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """Rows by key, new before old; of several new rows that with the greatest `order`, and of equals that of least hash."""
+    tie = [*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*new.columns)]
     rows = old.withColumn("__age", F.lit(1)).unionByName(new.withColumn("__age", F.lit(0)))
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__age"))).filter("__n = 1").drop("__n", "__age")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__age", *tie))).filter("__n = 1").drop("__n", "__age")
 
 
 def replace_partition(old: DataFrame, new: DataFrame, column: str) -> DataFrame:

@@ -86,7 +86,11 @@ def sql_combined(x: str = "x", y: str = "y", weights: dict[str, float] | None =
     return " + ".join(f"{w}::DOUBLE * {sql_distance(SET_METRIC[s], f'{x}.{s}', f'{y}.{s}')} / sc.{s}" for s, w in (weights or WEIGHTS).items())
 
 
-#: Combined distances of all ordered pairs, and each row's nearest others.
-NEAREST = f"""{SCALED}, pw AS (SELECT x.image_id AS qid, y.image_id AS id, {sql_combined("y", "x")} AS distance
+def nearest(weights: dict[str, float] | None = None) -> str:
+    """Combined distances of all ordered pairs, and each row's nearest others."""
+    return f"""{SCALED}, pw AS (SELECT x.image_id AS qid, y.image_id AS id, {sql_combined("y", "x", weights)} AS distance
   FROM p x, p y, sc WHERE x.image_id <> y.image_id),
 nn AS (SELECT qid, id, distance, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM pw QUALIFY rank <= 5)"""
+
+
+NEAREST = nearest()

@@ -308,7 +308,11 @@ def eval_configs(spark, d):
     return evaluate.mean_metrics(evaluate.query_metrics(found, space.items).withColumn("config", F.lit("combined")), "config").select("config", *map(rnd, _NAMES), "n_queries")
 
 
-@query("eval_each_set")
+def _alone_sql(s: str) -> str:
+    return f"(WITH {_METRICS.replace(M.NEAREST, M.nearest({s: 1.0}))} SELECT '{s}' AS config, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)}, count(*) AS n_queries FROM q)"
+
+
+@query("eval_each_set", " UNION ALL ".join(f"SELECT * FROM {_alone_sql(s)}" for s in M.SLICES))
 def eval_each_set(spark, d):
     """The same for each set alone."""
     out = None
@@ -316,7 +320,7 @@ def eval_each_set(spark, d):
         space, found = leave_one_out(spark, d, weights={s: 1.0})
         one = evaluate.mean_metrics(evaluate.query_metrics(found, space.items).withColumn("config", F.lit(s)), "config")
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.select("config", *map(rnd, _NAMES), "n_queries")
 
 
 @query("random_baseline", f"WITH {M.BASE}, c AS (SELECT genus, count(*) AS c FROM f GROUP BY genus) SELECT round(sum(c * (c - 1)) / sum(c) / (sum(c) - 1), 6) AS baseline FROM c")
@@ -402,7 +406,7 @@ def fisher_ratio(spark, d):
 
 
 _DEEP = M.sql_distance("cosine", "x.deep", "y.deep")
-_PAIRS = f"{M.BASE}, s AS (SELECT * FROM f WHERE image_id < 250), pw AS (SELECT x.image_id AS a, y.image_id AS b, x.genus AS ga, y.genus AS gb, x.author AS aa, y.author AS ab, {_DEEP} AS d FROM s x, s y WHERE x.image_id <> y.image_id)"
+_PAIRS = f"{M.BASE}, pw AS (SELECT x.image_id AS a, y.image_id AS b, x.genus AS ga, y.genus AS gb, x.author AS aa, y.author AS ab, {_DEEP} AS d FROM f x, f y WHERE x.image_id <> y.image_id)"
 
 
 @query("sep_ratio", f"WITH {_PAIRS}, q AS (SELECT avg(d) FILTER (WHERE ga = gb) AS intra, avg(d) FILTER (WHERE ga <> gb) AS inter FROM pw) SELECT round(intra, 6) AS intra, round(inter, 6) AS inter, round(inter / greatest(intra, 1e-9), 6) AS sep_ratio FROM q")

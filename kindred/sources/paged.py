@@ -15,12 +15,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PAGE, BATCH, TRIES, PAUSE_S = 500, 50, 4, 2.0
 
 
+#: What requests say of themselves, and what a lookup asks for.
+AGENT = "kindred/1.0"
+PROPERTIES = {"prop": "imageinfo|categories", "iiprop": "url|size|mime|extmetadata", "cllimit": "500"}
+
+
 def post(url: str, params: dict, tries: int = TRIES, pause: float = PAUSE_S) -> dict:
     for n in range(tries):
         try:
-            with urllib.request.urlopen(url, urllib.parse.urlencode(params).encode(), timeout=60) as r:
+            request = urllib.request.Request(url, urllib.parse.urlencode(params).encode(), {"User-Agent": AGENT})
+            with urllib.request.urlopen(request, timeout=60) as r:
                 return json.load(r)
-        except OSError:
+        except Exception:  # a failed connection as well as a broken answer
             if n == tries - 1:
                 raise
             time.sleep(pause * (n + 1))
@@ -77,17 +83,23 @@ class CategoryMembers(DataSource):
         return _Reader(dict(self.options))
 
 
-def lookup(titles: DataFrame, fetch: Callable[[dict], dict], batch: int = BATCH) -> DataFrame:
-    """titles (column title) with column info, a JSON string, asked for in batches on the executors."""
+def lookup(titles: DataFrame, fetch: Callable[[dict], dict], batch: int = BATCH, properties: dict[str, str] | None = None) -> DataFrame:
+    """titles (column title) with column info, a JSON string, asked for in batches on the executors.
+
+    An answer that continues adds its categories to those that came before; of other fields the last value counts.
+    """
+    asked = PROPERTIES if properties is None else properties
 
     def run(parts):
         for pdf in parts:
             for low in range(0, len(pdf), batch):
                 part = pdf.iloc[low : low + batch].copy()
                 found: dict[str, dict] = {}
-                for got in pages(fetch, {"action": "query", "format": "json", "titles": "|".join(part["title"])}):
+                for got in pages(fetch, {"action": "query", "format": "json", "titles": "|".join(part["title"]), **asked}):
                     for p in got.get("query", {}).get("pages", {}).values():
-                        found.setdefault(p["title"], {}).update(p)
+                        known = found.setdefault(p["title"], {})
+                        categories = known.get("categories", []) + p.get("categories", [])
+                        known |= p | ({"categories": categories} if categories else {})
                 part["info"] = [json.dumps(found[t]) if t in found else None for t in part["title"]]
                 yield part[["title", "info"]]
 

@@ -1,6 +1,8 @@
+import json
+
 from pyspark.sql import functions as F
 
-from kindred.operators import store
+from kindred.operators import ingest, store
 from kindred.sources import files, paged
 from kindred.streaming import ingest as streaming
 
@@ -61,6 +63,29 @@ def test_lookup(spark):
     assert '"n": 2' in got["aa"] and got["none"] is None
 
 
+def test_lookup_that_continues(spark):
+    def _fetch(p):
+        assert "categories" in p["prop"]
+        c = "c2" if "clcontinue" in p else "c1"
+        page = {"title": "aa", "categories": [{"title": c}]} | ({} if c == "c2" else {"imageinfo": [{"width": 5}]})
+        return {"query": {"pages": {"1": page}}} | ({"continue": {"clcontinue": "x", "continue": "-"}} if c == "c1" else {})
+
+    info = json.loads(paged.lookup(spark.createDataFrame([("aa",)], "title string"), _fetch).first()["info"])
+    assert [c["title"] for c in info["categories"]] == ["c1", "c2"] and info["imageinfo"] == [{"width": 5}]
+
+
+def test_crawl_enters_no_bad_seeds(spark):
+    edges = spark.createDataFrame([("a", "b"), ("Museum x", "c"), ("b", "museum y")], "parent string, child string")
+    got = {r["node"]: r["left"] for r in ingest.crawl(edges, [("a", 2), ("Museum x", 2)], bad="museum").collect()}
+    assert got == {"a": 2, "b": 1}
+
+
+def test_latest_wins_is_determined(spark):
+    old = spark.createDataFrame([(1, "x", 0)], "k long, v string, t int")
+    new = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2)], "k long, v string, t int").repartition(3)
+    assert store.latest_wins(old, new, "k", order="t").first()["v"] == "b"
+
+
 def test_stream_upsert(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(src)
