@@ -34,7 +34,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/kindred/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the scratch folder and reads it again: cuts lineage and survives lost executors.
 
     Shuffle files of the job have served once the table is written, so Spark is told to remove them then.
@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     out = spark.read.schema(schema).parquet(path)
@@ -106,7 +106,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str, *, descending: bool =
     order = [by, F.substring(text, 1, 32), F.xxhash64(text), F.monotonically_increasing_id()]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order[:3])
-    rows = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), "in-order")
+    rows = materialise(rows.withColumn("__at", F.monotonically_increasing_id()), "in-order", "zstd")
     part = F.shiftright(F.col("__at"), 33)
     before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = rows.groupBy(part.alias("__part")).count().select("__part", before.alias("__before"))  # a row per task

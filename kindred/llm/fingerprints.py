@@ -107,12 +107,13 @@ def fingerprint_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = in_order(rows, "doc_id", "text", descending=True)
     last = rows.agg(F.max("__doc")).first()[0] or 0
-    df = with_fingerprint(rows, "text", "fp")
     own = F.struct(F.expr(f"__doc div {BUCKET}").alias("b"), F.col("__doc").alias("place"), F.lit(False).alias("guest"))
     # the first row of a bucket also follows the last of the bucket before, the very first the very last
     at = F.when(F.col("__doc") == 0, F.lit(last + 1)).otherwise(F.col("__doc"))
     guest = F.struct(F.floor((at - 1) / BUCKET).cast("long").alias("b"), at.cast("long").alias("place"), F.lit(True).alias("guest"))
-    df = df.select("doc_id", "text", "fp", F.inline(F.when(F.col("__doc") % BUCKET == 0, F.array(own, guest)).otherwise(F.array(own))))
+    df = rows.select("doc_id", "text", F.inline(F.when(F.col("__doc") % BUCKET == 0, F.array(own, guest)).otherwise(F.array(own))))
+    # fingerprints are taken where the neighbours have met, so that they don't move; the window finds its rows dealt and sorted
+    df = with_fingerprint(df.repartition("b").sortWithinPartitions("b", "place"), "text", "fp")
     order = Window.partitionBy("b").orderBy("place")
     df = df.withColumn("next", F.lead(F.struct("text", "fp")).over(order)).filter(~F.col("guest"))
     n = F.length("text")
