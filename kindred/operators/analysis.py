@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ordering import cut
 from .search import QUERY_BLOCK, TIE, _blocks, _matrix, _pairwise
 
 
@@ -82,6 +83,50 @@ def closest_pair(pairs: DataFrame, items: DataFrame, id_col: str, author: str) -
     return best.select(F.col("label_a").alias("genus"), "x.a", "x.b", F.col("x.d").alias("d"))
 
 
+def example_triplet(rows: DataFrame, metrics: dict[str, str], by: str, near: str, far: str, id_col: str, label: str, author: str) -> DataFrame:
+    """a, b, c and, per set, the distances AB, AC, BC: a and b the closest two of label `near` by different authors, c the medoid of label `far`,
+    both by set `by`. Vectors of l2 sets are standardised over all rows; distances to c's fellows include that to itself.
+
+    The closest pair comes from streamed blocks; the medoid's means take a row per pair within a block only.
+    """
+    z = rows
+    for s, m in metrics.items():
+        z = standardised(z, s) if m == "l2" else z
+    z = cut(z.select(id_col, label, author, *metrics))
+    pair = closest_pair_of_all(z.filter(F.col(label) == near), by, metrics[by], id_col, label, author).select("a", "b")
+    middle = medoid_of(z.filter(F.col(label) == far), by, metrics[by], id_col).select(F.col("medoid").alias("c"))
+    found = pair.crossJoin(middle)  # one row
+    of = lambda k: z.select(F.col(id_col).cast("long").alias(k), *[F.col(s).alias(f"{s}_{k}") for s in metrics])
+    for k in "abc":
+        found = found.join(of(k), k)
+    far_apart = lambda s, x, y: V.distance(metrics[s], F.col(f"{s}_{x}"), F.col(f"{s}_{y}"))
+    each = [F.struct(F.lit(s).alias("set_name"), *[far_apart(s, x, y).alias(f"{x}{y}") for x, y in ("ab", "ac", "bc")]) for s in metrics]
+    return found.select("a", "b", "c", F.inline(F.array(*each)))
+
+
+def medoid_of(rows: DataFrame, vector: str, metric: str, id_col: str, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """medoid, mean_d: the row with the least mean distance to all rows, itself included, in streamed blocks; ties to the smallest id."""
+    items = rows.filter(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vector).alias("v"))
+
+    def kernel(block: pa.Table):
+        qid, q = block.column("qid").to_numpy(), _matrix(block.column("v"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, n = np.zeros(len(qid)), 0
+            for batch in batches:
+                for low in range(0, batch.num_rows, 1024):
+                    part = batch.slice(low, 1024)
+                    d = _pairwise(metric, q, _matrix(part.column(1)))
+                    d[qid[:, None] == part.column(0).to_numpy(zero_copy_only=False)[None, :]] = 0
+                    sums, n = sums + d.sum(1), n + part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(sums), pa.array(np.full(len(qid), n))], ["id", "s", "n"])
+
+        return run
+
+    sums = _streamed(items, items, kernel, "id long, s double, n long", query_block).groupBy("id").agg((F.sum("s") / F.sum("n")).alias("d"))
+    return sums.agg(F.min(F.struct(F.round("d", TIE).alias("d"), "id")).alias("x")).select(F.col("x.id").alias("medoid"), F.col("x.d").alias("mean_d"))
+
+
 # The same over whole tables, without a row per pair. Ids are unique; rows without a label or vector have no part.
 
 

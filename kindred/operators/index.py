@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ordering import placed
 
 #: Components of the k-d, R-tree and quadtree backends; leaf sizes and depth; clusters.
 PCA_DIMS = {"kdtree": 32, "rtree": 8, "quadtree": 2}
@@ -88,17 +89,20 @@ def sort_tiles(items: DataFrame, dims: int, leaf: int = LEAF, id_col: str = "ima
     """Adds tile (a string path of slab numbers): sort-tile-recursive packing, one pass of windows per axis.
 
     A group of n rows with g = ceil(n / leaf) leaves to fill is sorted by the axis and cut into ceil(g ** (1 / axes left))
-    slabs of equal size. The first axis orders all rows; later ones order within slabs, so only that one is a global order, which a bucketed
-    rank over `z` would replace for tables beyond one sort.
+    slabs of equal size. The first axis orders all rows, by buckets (see placed); later ones order within slabs.
     """
     df = items.withColumn("tile", F.lit("")).withColumn("__place", F.col(id_col))
     for axis in range(dims):
-        n = F.count(F.lit(1)).over(Window.partitionBy("tile"))
+        n = F.col("__n")
         groups = F.ceil(n / leaf)
         slabs = F.greatest(F.lit(1), F.ceil(F.round(F.pow(groups.cast("double"), F.lit(1.0 / (dims - axis))), 9)))
         per = F.ceil(n / slabs) if axis < dims - 1 else F.lit(leaf)
-        rank = F.row_number().over(Window.partitionBy("tile").orderBy(F.element_at(z, axis + 1), "__place"))
-        df = df.withColumn("__n", n).withColumn("__per", per).withColumn("__rank", rank)
+        if axis == 0:
+            df = placed(df, F.element_at(z, 1), "__place", name="__rank", total="__n")
+        else:
+            slab = Window.partitionBy("tile")
+            df = df.withColumn("__n", F.count(F.lit(1)).over(slab)).withColumn("__rank", F.row_number().over(slab.orderBy(F.element_at(z, axis + 1), "__place")))
+        df = df.withColumn("__per", per)
         small = F.col("__n") <= leaf
         df = df.withColumn("tile", F.when(small, F.col("tile")).otherwise(F.concat("tile", F.lit("/"), F.floor((F.col("__rank") - 1) / F.col("__per")).cast("string"))))
         df = df.withColumn("__place", F.col("__rank").cast("long"))
@@ -116,8 +120,8 @@ def pruned_nearest(tiled: DataFrame, boxes: DataFrame, q: Column, n: int, dims:
     """The n nearest, reading only tiles whose box is no farther than the bound that the nearest boxes' farthest corners give."""
     far = V.norm(F.zip_with(F.zip_with("low", q, lambda lo, x: F.abs(x - lo)), F.zip_with("high", q, lambda hi, x: F.abs(x - hi)), lambda a, b: F.greatest(a, b)))
     b = boxes.withColumn("near", V.mindist(q, F.col("low"), F.col("high"))).withColumn("far", far)
-    by = Window.orderBy("far", "tile")
-    bound = b.withColumn("held", F.sum("n").over(by)).filter(F.col("held") >= n).agg(F.min("far").alias("bound"))
+    by = Window.orderBy("far", "tile")  # over n boxes, as each holds a row
+    bound = b.orderBy("far", "tile").limit(n).withColumn("held", F.sum("n").over(by)).filter(F.col("held") >= n).agg(F.min("far").alias("bound"))
     some = b.join(F.broadcast(bound), F.col("bound").isNull() | (F.col("near") <= F.col("bound"))).select("tile")
     return nearest_by_components(tiled.join(some, "tile", "left_semi"), q, n, dims, id_col, z)
 

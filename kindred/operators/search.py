@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .ordering import placed
 from .space import CANDIDATE_POOL, TOP_K, FeatureSpace
 
 FILTER_FIELDS = ("genus", "group_label", "license")
@@ -31,9 +32,19 @@ def filter_values(items: DataFrame, field: str) -> DataFrame:
     return items.select(field).filter(F.col(field).isNotNull() & (F.col(field) != "")).distinct().orderBy(field)
 
 
-def ranked_scan(space: FeatureSpace, query: Mapping[str, list[float]], filters=None, exclude=()) -> DataFrame:
-    """Items that pass, with raw_S per set and `distance`. Filters stand before distances, so they reach the scan."""
+def parse_filters(**given: str | None) -> dict[str, set[str]]:
+    """Fields with lists split at commas; fields without a list are left out."""
+    return {k: set(v.split(",")) for k, v in given.items() if v}
+
+
+def ranked_scan(space: FeatureSpace, query: Mapping[str, list[float]], filters=None, exclude=(), candidates: DataFrame | None = None) -> DataFrame:
+    """Items that pass, with raw_S per set and `distance`. Filters stand before distances, so they reach the scan.
+
+    With candidates (ids that an index found) only those are ranked.
+    """
     items = space.items.filter(matches(filters))
+    if candidates is not None:
+        items = items.join(candidates.select(space.id_col), space.id_col, "left_semi")
     if exclude:
         items = items.filter(~F.col(space.id_col).isin(list(exclude)))
     items = items.withColumns({s: space.prepared(s) for s in space.sets})
@@ -42,9 +53,9 @@ def ranked_scan(space: FeatureSpace, query: Mapping[str, list[float]], filters=N
     return items.withColumn("distance", space.combine({s: F.col(f"raw_{s}") for s in raw})).drop(*space.sets)
 
 
-def top_k(space: FeatureSpace, query: Mapping[str, list[float]], k: int = TOP_K, filters=None, exclude=()) -> DataFrame:
+def top_k(space: FeatureSpace, query: Mapping[str, list[float]], k: int = TOP_K, filters=None, exclude=(), candidates: DataFrame | None = None) -> DataFrame:
     """rank, id, metadata, distance, similarity, raw_S of the k nearest; ties by id. TakeOrderedAndProject: no full sort."""
-    best = ranked_scan(space, query, filters, exclude).orderBy(F.round("distance", TIE), space.id_col).limit(k)
+    best = ranked_scan(space, query, filters, exclude, candidates).orderBy(F.round("distance", TIE), space.id_col).limit(k)
     by = Window.orderBy(F.round("distance", TIE), space.id_col)  # over k rows
     return best.withColumn("rank", F.row_number().over(by)).withColumn("similarity", V.similarity(F.col("distance")))
 
@@ -183,6 +194,19 @@ def _first(near: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
 
+def pick_rows(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in an order that looks random and that the seed alone decides."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    return rows.orderBy(key, id_col).limit(n)
+
+
+def every_step(rows: DataFrame, order_col: str, n: int = 5) -> DataFrame:
+    """The first n of the rows at places 0, s, 2 s, ... in order, where s is the number of rows divided by n, 1 at least."""
+    at = placed(rows, order_col, name="__place", total="__n")
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / n))
+    return at.filter(((F.col("__place") - 1) % step == 0) & (F.col("__place") <= step * n)).drop("__place", "__n")
+
+
 def widened_pool(ranked: DataFrame, passes: Column, top_k: int = TOP_K, excluded: int = 0, pool: int = CANDIDATE_POOL) -> DataFrame:
     """Candidates of an index under filters, without a loop. ranked: rank (1-based, by the index) and what `passes` needs.
 

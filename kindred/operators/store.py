@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import placed
+
 #: Row shapes of the store's tables.
 SCHEMAS = {
     "images": "image_id long, filename string, width int, height int, format string, file_size long, sha1 string, raw_id int, source_title string, source_url string, author string, license string, genus string, group_label string, segmentation string, fg_coverage double, excluded string, ingested_at timestamp",
     "feature_sets": "ordinal int, set_name string, dim int, description string, extractor_version string, metric string, layout array<struct<name:string,dim:int>>",
     "features": "image_id long, set_name string, dim int, vector array<float>",
-    "feature_stats": "set_name string, key string, value array<float>",
+    "feature_stats": "set_name string, key string, value array<double>",
     "indexes": "name string, kind string, meta map<string,string>, built_at timestamp",
     "image_clusters": "index_name string, image_id long, cluster_id int",
     "query_log": "query_id string, query_path string, backend string, weights map<string,double>, top_k int, results array<struct<rank:int,image_id:long,similarity:double>>, elapsed_ms double, created_at timestamp",
@@ -35,13 +37,15 @@ def upsert_images(old: DataFrame, new: DataFrame, key: str = "filename", id_col:
     now = F.current_timestamp() if now is None else now
     new = new.withColumn("__given", F.col("ingested_at") if "ingested_at" in new.columns else F.lit(None).cast("timestamp"))
     fresh = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns])
-    both = old.withColumn("__old", F.lit(True)).join(fresh, F.col(key) == F.col(f"__new_{key}"), "full_outer")
-    pick = {c: F.coalesce(F.col(f"__new_{c}"), F.col(c)) if f"__new_{c}" in both.columns and c != id_col else F.col(c) for c in old.columns}
-    pick["ingested_at"] = F.when(F.col(f"__new_{key}").isNull(), F.col("ingested_at")).otherwise(F.coalesce("__new___given", now))
+    given = lambda c: F.col(f"__new_{c}") if c in new.columns and c != id_col else F.lit(None)
+    stamp = F.coalesce("__new___given", now)
+    typed = lambda pick: [pick[c].cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    same = F.col(key) == F.col(f"__new_{key}")
+    known = old.join(fresh, same, "left")
+    known = known.select(*typed({c: F.coalesce(given(c), F.col(c)) for c in old.columns} | {"ingested_at": F.when(F.col(f"__new_{key}").isNull(), F.col("ingested_at")).otherwise(stamp)}))
     most = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__most"))
-    place = F.row_number().over(Window.partitionBy("__old").orderBy(f"__new_{key}"))
-    pick[id_col] = F.when(F.col("__old"), F.col(id_col)).otherwise(F.col("__most") + F.col("__place"))
-    return both.withColumn("__place", place).crossJoin(F.broadcast(most)).select(*[pick[c].cast(old.schema[c].dataType).alias(c) for c in old.columns])
+    added = placed(fresh.join(old.select(key), same, "left_anti"), f"__new_{key}", name="__place").crossJoin(F.broadcast(most))  # one row
+    return known.unionByName(added.select(*typed({c: given(c) for c in old.columns} | {id_col: F.col("__most") + F.col("__place"), "ingested_at": stamp})))
 
 
 def latest_wins(old: DataFrame, new: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
@@ -88,3 +92,25 @@ def summary(images: DataFrame, features: DataFrame, clusters: DataFrame, log: Da
 
 def struct_of(table: str) -> T.StructType:
     return T.StructType.fromDDL(SCHEMAS[table])
+
+
+def rebuild(spark: SparkSession, root: str) -> None:
+    """All tables empty, whatever they held."""
+    for table in SCHEMAS:
+        spark.createDataFrame([], SCHEMAS[table]).write.mode("overwrite").parquet(f"{root}/{table}")
+
+
+def feature_sets(catalog: DataFrame) -> DataFrame:
+    """Feature sets in the order they were put in; a layout that is JSON text is parsed."""
+    if dict(catalog.dtypes)["layout"] == "string":
+        catalog = catalog.withColumn("layout", F.from_json("layout", "array<struct<name:string,dim:int>>"))
+    return catalog.orderBy("ordinal")
+
+
+def size_on_disk(spark: SparkSession, path: str) -> DataFrame:
+    """table, files, bytes of the folders (or Parquet files) under path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    below = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    prefix = "/" + path.split(":", 1)[-1].strip("/") + "/"
+    table = F.regexp_replace(F.element_at(F.split(F.substring(below, len(prefix) + 1, 1 << 20), "/"), 1), r"\.parquet$", "")
+    return files.groupBy(table.alias("table")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))

@@ -36,7 +36,27 @@ def pairs(rows: DataFrame) -> DataFrame:
 def space(spark: SparkSession, sf_dir: str, *, fit: bool = True, sets: tuple[str, ...] = tuple(SLICES), weights: dict | None = None) -> FeatureSpace:
     rows = items(spark, sf_dir)
     out = FeatureSpace(rows, {s: SET_METRIC[s] for s in sets}, layout=LAYOUT, weights=weights or {})
-    return out.fit(pairs(rows)) if fit else out
+    if not fit:
+        return out
+    key = (spark.sparkContext.applicationId, sets, *version(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _FITTED:
+        fitted = out.fit(pairs(rows))
+        _FITTED[key] = fitted.stats, fitted.scales
+    out.stats, out.scales = _FITTED[key]
+    return out
+
+
+#: Statistics and scales of the tables that this process has fitted, by session, sets and version of the table: they don't depend on weights.
+_FITTED: dict[tuple, tuple[dict, dict]] = {}
+
+
+def version(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """A table's path, bytes and time of change."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(where)
+    files = fs.listStatus(where) if status.isDirectory() else [status]
+    return path, sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
 
 
 def query_of(rows: DataFrame, image_id: int) -> dict[str, list[float]]:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ingest_rules as rules
 from ..functions import vectors as V
 from ..operators import analysis, evaluate, feedback, index, ingest, search, store
+from ..operators.ordering import placed
 from ..operators.space import SET_METRIC, FeatureSpace
 from . import model as M
 
@@ -91,6 +93,39 @@ def block_projection(spark, d):
     return M.items(spark, d).select(*out)
 
 
+@query("feature_lookup", f"WITH {M.BASE} SELECT d::INT AS dim, round(v, 6) AS value FROM (SELECT unnest(range(1, 17)) AS d, unnest(shape) AS v FROM f WHERE image_id = 7)")
+def feature_lookup(spark, d):
+    """A vector by image and set."""
+    rows = M.items(spark, d).select("image_id", F.inline(F.array(*[F.struct(F.lit(s).alias("set_name"), F.col(s).alias("vector")) for s in M.SLICES])))
+    return rows.filter("image_id = 7 and set_name = 'shape'").select(F.posexplode("vector").alias("p", "value")).select((F.col("p") + 1).alias("dim"), rnd("value"))
+
+
+@query("cluster_lookup", "SELECT vec_id AS image_id, label AS cluster_id FROM embeddings WHERE label = (SELECT label FROM embeddings WHERE vec_id = 7)")
+def cluster_lookup(spark, d):
+    """The cluster of an image and its members."""
+    rows = M.items(spark, d).select("image_id", F.col("label").alias("cluster_id"))
+    own = rows.filter("image_id = 7").select("cluster_id")
+    return rows.join(F.broadcast(own), "cluster_id", "left_semi").select("image_id", "cluster_id")  # one row
+
+
+@query("feature_catalog", " UNION ALL ".join(f"SELECT {i} AS ordinal, '{s}' AS set_name, {n} AS dim, '{b}' AS block, {k} AS block_dim" for i, (s, (_, n)) in enumerate(M.SLICES.items()) for b, k in M.LAYOUT.get(s, [(s, n)])))
+def feature_catalog(spark, d):
+    """The feature sets in the order they were put in, a row per block of their layouts."""
+    rows = [(i, s, n, json.dumps([{"name": b, "dim": k} for b, k in M.LAYOUT.get(s, [(s, n)])])) for i, (s, (_, n)) in enumerate(M.SLICES.items())]
+    sets = store.feature_sets(spark.createDataFrame(rows[::-1], "ordinal int, set_name string, dim int, layout string"))
+    return sets.select("ordinal", "set_name", "dim", F.explode("layout").alias("b")).select("ordinal", "set_name", "dim", F.col("b.name").alias("block"), F.col("b.dim").alias("block_dim"))
+
+
+@query("seeded_sample", f"WITH {M.BASE} SELECT image_id, genus FROM f ORDER BY md5('42:' || image_id), image_id LIMIT 30")
+def seeded_sample(spark, d):
+    return search.pick_rows(M.items(spark, d).select("image_id", "genus"), "image_id", 30)
+
+
+@query("figure_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, greatest(1, count(*) OVER () // 5) AS step FROM labels) WHERE place % step = 0 AND place < 5 * step")
+def figure_rows(spark, d):
+    return search.every_step(M.table(spark, d, "labels").select("doc_id"), "doc_id")
+
+
 # Distances and statistics.
 
 
@@ -146,6 +181,16 @@ def combined_topk(spark, d):
     return search.top_k(space, M.query_of(space.items, 7), exclude=[7]).select("rank", "image_id", "genus", rnd("distance"), rnd("similarity"))
 
 
+@query("reranked_topk", f"""WITH {M.SCALED}, c AS (SELECT y.image_id FROM f x, f y WHERE x.image_id = 7 ORDER BY round(list_distance(y.deep[1:8], x.deep[1:8]), 9), y.image_id LIMIT 60),
+t AS (SELECT y.image_id, y.genus, {M.sql_combined('y', 'x')} AS distance FROM p x, p y, sc WHERE x.image_id = 7 AND y.image_id <> 7 AND y.image_id IN (SELECT image_id FROM c)) {_TOP}""")
+def reranked_topk(spark, d):
+    """An index's candidates ranked by the combined distance."""
+    space = M.space(spark, d)
+    asked = M.query_of(space.items, 7)
+    found = index.nearest_by_components(space.items, F.array(*[F.lit(x) for x in asked["deep"]]), 60, 8, z="deep")
+    return search.top_k(space, asked, exclude=[7], candidates=found).select("rank", "image_id", "genus", rnd("distance"), rnd("similarity"))
+
+
 @query("filtered_topk", f"WITH {M.SCALED}, t AS (SELECT y.image_id, y.genus, {M.sql_combined('y', 'x')} AS distance FROM p x, p y, sc WHERE x.image_id = 7 AND y.image_id <> 7 AND y.license IN ('L1', 'L2') AND y.group_label = 'conifer') {_TOP}")
 def filtered_topk(spark, d):
     space = M.space(spark, d)
@@ -223,7 +268,7 @@ def widened_pool(spark, d):
     rows = M.items(spark, d)
     q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)["deep"]])
     cut = lambda v: F.slice(v, 1, 2)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.round(V.l2(cut(F.col("deep")), cut(q)), 9), "image_id")))
+    ranked = placed(rows, F.round(V.l2(cut(F.col("deep")), cut(q)), 9), "image_id", name="rank").withColumn("rank", F.col("rank").cast("int"))
     passes = search.matches({"genus": ["g3"], "license": ["L1"]}) & (F.col("image_id") != 7)
     return search.widened_pool(ranked, passes, 5, 1).select("image_id", "rank")
 
@@ -328,6 +373,11 @@ def random_baseline(spark, d):
     return evaluate.random_baseline(M.items(spark, d), "genus").select(rnd("baseline"))
 
 
+@query("group_baseline", f"WITH {M.BASE}, c AS (SELECT group_label, count(*) AS c FROM f GROUP BY 1) SELECT round(sum(c * (c - 1)) / sum(c) / (sum(c) - 1), 6) AS baseline FROM c")
+def group_baseline(spark, d):
+    return evaluate.random_baseline(M.items(spark, d), "group_label").select(rnd("baseline"))
+
+
 @query("recall_at_k", f"""WITH {M.NEAREST}, dn AS (SELECT x.image_id AS qid, y.image_id AS id, row_number() OVER (PARTITION BY x.image_id ORDER BY round({M.sql_distance("cosine", "y.deep", "x.deep")}, 9), y.image_id) AS rank FROM p x, p y WHERE x.image_id <> y.image_id QUALIFY rank <= 5)
 SELECT round(avg(r), 6) AS recall FROM (SELECT nn.qid, count(dn.id) / 5.0 AS r FROM nn LEFT JOIN dn USING (qid, id) GROUP BY nn.qid)""")
 def recall_at_k(spark, d):
@@ -395,6 +445,30 @@ def refine_topk(spark, d):
     return feedback.refine(space, M.query_of(space.items, 7), _marks(space.items), exclude=[7])[0].select("rank", "image_id", rnd("distance"))
 
 
+def _moved_sql(s: str, n: int) -> str:
+    return f"""mean_{s} AS (SELECT qid, k, avg(x) FILTER (WHERE rel) AS g, avg(x) FILTER (WHERE NOT rel) AS b FROM (SELECT qid, rel, unnest(range(1, {n + 1})) AS k, unnest({s}) AS x FROM mk JOIN f ON id = image_id) GROUP BY qid, k),
+long_{s} AS (SELECT qid, k, (x + 0.75 * coalesce(g, 0) - 0.25 * coalesce(b, 0)) / (1 + CASE WHEN g IS NULL THEN 0 ELSE 0.75 END - CASE WHEN b IS NULL THEN 0 ELSE 0.25 END) AS v
+ FROM (SELECT image_id AS qid, unnest(range(1, {n + 1})) AS k, unnest({s}) AS x FROM f) LEFT JOIN mean_{s} USING (qid, k))"""
+
+
+_BLOCK = "CASE WHEN k <= 8 THEN 1 WHEN k <= 16 THEN 2 WHEN k <= 20 THEN 3 ELSE 4 END"
+_GAIN = f"""WITH {M.NEAREST}, mk AS (SELECT qid, id, a.genus = b.genus AS rel FROM nn JOIN f a ON a.image_id = qid JOIN f b ON b.image_id = id), {', '.join(_moved_sql(s, n) for s, (_, n) in M.SLICES.items())},
+cut AS (SELECT qid, k, {_BLOCK} AS b, CASE WHEN k <= 20 THEN greatest(v, 0) ELSE v END AS v FROM long_color),
+hist AS (SELECT qid, k, CASE WHEN b < 4 AND sum(v) OVER (PARTITION BY qid, b) > 0 THEN v / sum(v) OVER (PARTITION BY qid, b) ELSE v END AS v FROM cut),
+m AS (SELECT * FROM (SELECT qid, list(v ORDER BY k) AS color FROM hist GROUP BY qid) JOIN (SELECT qid, list((v - a.m[k]) / a.s[k] ORDER BY k) AS shape FROM long_shape, st_shape a GROUP BY qid) USING (qid)
+ JOIN (SELECT qid, list((v - a.m[k]) / a.s[k] ORDER BY k) AS texture FROM long_texture, st_texture a GROUP BY qid) USING (qid) JOIN (SELECT qid, list(v ORDER BY k) AS deep FROM long_deep GROUP BY qid) USING (qid)),
+again AS (SELECT x.qid, y.image_id AS id, row_number() OVER (PARTITION BY x.qid ORDER BY round({M.sql_combined('y', 'x')}, 9), y.image_id) AS rank FROM m x, p y, sc WHERE x.qid <> y.image_id QUALIFY rank <= 5),
+share AS (SELECT qid, count(*) FILTER (WHERE rel) / 5.0 AS before FROM mk GROUP BY qid), after AS (SELECT qid, count(*) FILTER (WHERE a.genus = b.genus) / 5.0 AS after FROM again JOIN f a ON a.image_id = qid JOIN f b ON b.image_id = id GROUP BY qid)
+SELECT count(*) AS n_queries, round(avg(before), 6) AS p_at_k_before, round(avg(after), 6) AS p_at_k_after FROM share JOIN after USING (qid)"""
+
+
+@query("feedback_gain", _GAIN)
+def feedback_gain(spark, d):
+    """Precision of all rows as queries before and after a round of feedback."""
+    space = M.space(spark, d)
+    return feedback.feedback_gain(space, space.items.select("image_id", "genus")).select("n_queries", rnd("p_at_k_before"), rnd("p_at_k_after"))
+
+
 # Analysis.
 
 
@@ -429,6 +503,15 @@ def closest_pair(spark, d):
     return analysis.closest_pair_of_all(M.items(spark, d), "deep", "cosine", "image_id", "genus", "author").select("genus", "a", "b", rnd("d"))
 
 
+@query("example_triplet", f"""WITH {M.PREPARED}, ab AS (SELECT x.image_id AS a, y.image_id AS b FROM p x JOIN p y ON x.image_id < y.image_id AND x.author <> y.author WHERE x.genus = 'g3' AND y.genus = 'g3' ORDER BY round(list_distance(x.shape, y.shape), 9), a, b LIMIT 1),
+mid AS (SELECT x.image_id AS c FROM p x, p y WHERE x.genus = 'g5' AND y.genus = 'g5' GROUP BY x.image_id ORDER BY round(avg(list_distance(x.shape, y.shape)), 9), c LIMIT 1),
+t AS (SELECT a, b, c FROM ab, mid) {' UNION ALL '.join(f"SELECT a, b, c, '{s}' AS set_name, " + ', '.join(f"round({M.sql_distance(m, f'{x}.{s}', f'{y}.{s}')}, 6) AS {n}" for n, x, y in (('ab', 'pa', 'pb'), ('ac', 'pa', 'pc'), ('bc', 'pb', 'pc'))) + " FROM t JOIN p pa ON pa.image_id = a JOIN p pb ON pb.image_id = b JOIN p pc ON pc.image_id = c" for s, m in SET_METRIC.items())}""")
+def example_triplet(spark, d):
+    """Two alike of one class, and the most typical of another."""
+    out = analysis.example_triplet(M.items(spark, d), SET_METRIC, "shape", "g3", "g5", "image_id", "genus", "author")
+    return out.select("a", "b", "c", "set_name", rnd("ab"), rnd("ac"), rnd("bc"))
+
+
 @query("chance_level", "WITH c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label) SELECT round(sum(power(c, 2)) / power(sum(c), 2), 6) AS chance FROM c")
 def chance_level(spark, d):
     return analysis.chance_level(M.items(spark, d), "genus").select(rnd("chance"))
@@ -539,6 +622,14 @@ def gate_reason(spark, d):
     return e.select("image_id", rules.gate_reason(F.col("c"), F.col("x"), F.col("y"), F.col("m")).alias("reason"))
 
 
+@query("method_counts", """WITH g AS (SELECT CASE WHEN vec_id % 11 = 0 THEN 'default_rect' ELSE 'segformer' END AS method, abs(embedding[1]::DOUBLE) * 4 AS c, embedding[2]::DOUBLE * 2 AS x, embedding[3]::DOUBLE * 2 AS y FROM embeddings)
+SELECT method, count(*) AS n, count(*) FILTER (WHERE c BETWEEN 0.04 AND 0.9 AND abs(x) <= 0.3 AND abs(y) <= 0.3 AND method <> 'default_rect') AS kept FROM g GROUP BY method""")
+def method_counts(spark, d):
+    """How images were segmented, and how many of each pass the gate."""
+    rows = gate_reason(spark, d).select(F.when(F.col("image_id") % 11 == 0, "default_rect").otherwise("segformer").alias("method"), "reason")
+    return rows.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNull()).alias("kept"))
+
+
 _HASH = "h AS (SELECT vec_id AS id, list_sum(list_transform(embedding[1:63], lambda x, i: CASE WHEN x > 0 THEN 1::BIGINT << (i - 1)::INT ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings)"
 
 
@@ -564,6 +655,16 @@ def holdout_pick(spark, d):
     return ingest.holdout_pick(M.table(spark, d, "labels"), 10, "doc_id", F.lit(True)).select("doc_id")
 
 
+@query("split_holdout", """WITH r AS (SELECT doc_id, lang = 'en' AS l FROM documents WHERE lang IS NOT NULL), q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS m FROM r WHERE l),
+h AS (SELECT doc_id FROM q WHERE place IN (SELECT floor(i * (m - 1) / 9)::BIGINT FROM range(10) t(i), (SELECT max(m) AS m FROM q)) AND (SELECT count(*) FROM r) - 10 >= 150),
+b AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS held FROM r), n AS (SELECT doc_id, held, row_number() OVER (PARTITION BY held ORDER BY doc_id)::INT AS image_id FROM b)
+SELECT doc_id, image_id, CASE WHEN held THEN printf('query_%02d.jpg', image_id) ELSE printf('tree_%04d.jpg', image_id) END AS filename FROM n""")
+def split_holdout(spark, d):
+    rows = M.table(spark, d, "documents").filter("lang is not null").select("doc_id", "lang")
+    kept, held = ingest.split_holdout(rows, 10, "doc_id", F.col("lang") == "en", least=150)
+    return kept.unionByName(held).select("doc_id", "image_id", "filename")
+
+
 @query("renumber", "SELECT doc_id, row_number() OVER (ORDER BY doc_id)::INT AS image_id, printf('tree_%04d', row_number() OVER (ORDER BY doc_id)) AS filename FROM labels WHERE quality = 0")
 def renumber(spark, d):
     return ingest.renumber(M.table(spark, d, "labels").filter("quality = 0").select("doc_id"), "doc_id", "image_id", "filename", "tree_%04d")
@@ -623,6 +724,13 @@ def category_union(spark, d):
     return M.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "|").alias("cats"))
 
 
+@query("bags", "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderkey) AS bag FROM orders GROUP BY o_custkey")
+def bags(spark, d):
+    """Everything seen per key, repeats included, in order."""
+    seen = M.table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("x"))
+    return seen.select("o_custkey", F.array_join(F.col("x.o_orderpriority"), "|").alias("bag"))
+
+
 @query("moments_skew", f"WITH {M.BASE}, m AS (SELECT image_id, color, list_avg(color) AS mean, list_stddev_pop(color) AS std FROM f) SELECT image_id, round(mean, 6) AS mean, round(std, 6) AS std, round(list_avg(list_transform(color, lambda x: power(x - mean, 3))) / (power(std, 3) + 1e-6), 6) AS skew FROM m")
 def moments_skew(spark, d):
     m = V.moments(F.col("color"))
