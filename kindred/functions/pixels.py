@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import struct
+import zlib
 
 import numpy as np
 
@@ -34,6 +36,44 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.moveaxis(np.tensordot(weights(image.shape[1], width), out, (1, 1)), 0, 1)
 
 
+def orientation(data: bytes) -> int:
+    """The EXIF orientation (1 to 8) that a JPEG file states; 1 where none is found."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+            tiff = data[at + 10 : at + 2 + size]
+            number = lambda a, n: int.from_bytes(tiff[a : a + n], "little" if tiff[:2] == b"II" else "big")  # noqa: B023, E731
+            first = number(4, 4)
+            for entry in range(first + 2, first + 2 + 12 * number(first, 2), 12):
+                if number(entry, 2) == 0x0112:
+                    return number(entry + 8, 2) if 1 <= number(entry + 8, 2) <= 8 else 1
+        at += 2 + size
+    return 1
+
+
+def upright(image: np.ndarray, orientation: int) -> np.ndarray:
+    """The image turned as its EXIF orientation asks."""
+    if orientation in (5, 6, 7, 8):
+        image = image.swapaxes(0, 1)
+    if orientation in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        image = image[::-1]
+    return image
+
+
+def png(rgb: np.ndarray) -> bytes:
+    """An 8-bit RGB PNG file."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", rgb.shape[1], rgb.shape[0], 8, 2, 0, 0, 0)
+    lines = np.concatenate([np.zeros((rgb.shape[0], 1), np.uint8), rgb.reshape(rgb.shape[0], -1)], 1)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
 def normalise(rgb: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Short side to `size`, then the square in the middle."""
     h, w = rgb.shape[:2]

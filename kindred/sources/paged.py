@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -83,6 +85,39 @@ class CategoryMembers(DataSource):
         return _Reader(dict(self.options))
 
 
+def _get(url: str) -> bytes:
+    with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": AGENT}), timeout=60) as r:
+        return r.read()
+
+
+def download(files: DataFrame, fetch: Callable[[str], bytes] = _get, tries: int = 3, least: int = 10_000, pause: float = PAUSE_S) -> DataFrame:
+    """files (url, file) with column done. Files of more than `least` bytes are there already and aren't fetched; others are tried `tries` times.
+
+    file is a path that every executor mounts. A file appears whole or not at all, so a task may run again.
+    """
+
+    def one(url: str, file: str) -> bool:
+        if os.path.exists(file) and os.path.getsize(file) > least:
+            return True
+        for n in range(tries):
+            try:
+                data = fetch(url)
+                part = f"{file}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(data)
+                os.replace(part, file)
+                return True
+            except Exception:  # whatever a transport raises
+                time.sleep(pause * (n + 1) if n < tries - 1 else 0)
+        return False
+
+    def run(parts):
+        for pdf in parts:
+            yield pdf.assign(done=[one(u, f) for u, f in zip(pdf["url"], pdf["file"], strict=True)])
+
+    return files.select("url", "file").mapInPandas(run, "url string, file string, done boolean")
+
+
 def lookup(titles: DataFrame, fetch: Callable[[dict], dict], batch: int = BATCH, properties: dict[str, str] | None = None) -> DataFrame:
     """titles (column title) with column info, a JSON string, asked for in batches on the executors.
 

@@ -6,6 +6,7 @@ import pytest
 
 from kindred.functions import pixels as P
 from kindred.operators import extract
+from kindred.operators.space import FeatureSpace
 from kindred.sources import files
 
 
@@ -97,3 +98,42 @@ def test_extract(spark, tmp_path):
     r = got.collect()
     assert len(r) == 1 and len(r[0]["color"]) == 369 and len(r[0]["shape"]) == 113 and len(r[0]["texture"]) == 85
     assert {x["set_name"]: x["dim"] for x in extract.feature_rows(got).collect()} == {"color": 369, "shape": 113, "texture": 85}
+
+
+def test_orientation():
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 0x010F, 2, 1, 0) + struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0)
+    body = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+    assert P.orientation(jpeg) == 6 and P.orientation(jpeg[:12]) == 1 and P.orientation(b"") == 1 and P.orientation(png(plain(3))) == 1
+    x = np.arange(6).reshape(2, 3)
+    assert P.upright(x, 6).tolist() == np.rot90(x, -1).tolist() and P.upright(x, 8).tolist() == np.rot90(x).tolist()
+    assert P.upright(x, 3).tolist() == np.rot90(x, 2).tolist() and P.upright(x, 5).tolist() == x.T.tolist() and P.upright(x, 1).tolist() == x.tolist()
+    assert P.upright(x, 7).tolist() == np.rot90(x, 2).T.tolist() and P.upright(x, 2).tolist() == x[:, ::-1].tolist() and P.upright(x, 4).tolist() == x[::-1].tolist()
+
+
+def test_pictures(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for name in "abcd":
+        x = plain(rng.integers(120, 255, 3), 40)
+        x[10:35, 12 : 24 + ord(name) % 7] = rng.integers(0, 120, 3)
+        (tmp_path / f"{name}.png").write_bytes(png(x))
+    (tmp_path / "e.png").write_bytes(b"broken")
+    images = files.read_oriented(spark, str(tmp_path))
+    assert {r["orientation"] for r in images.collect()} == {1}
+    assert [r["path"][-5:] for r in files.unreadable_images(spark, str(tmp_path)).collect()] == ["e.png"]
+    got = extract.extract_features(images, ("color", "shape"), 40, whiten=True).cache()
+    manifest = spark.createDataFrame([(i, f"{n}.png") for i, n in enumerate("abcz")], "image_id long, filename string")
+    items = extract.with_manifest(got, manifest)
+    assert sorted(r["filename"] for r in items.collect()) == ["a.png", "b.png", "c.png"]
+    out = str(tmp_path / "out")
+    written = [r["file"] for r in extract.write_pictures(got, f"file://{out}").collect()]
+    assert len(written) == 4 and files.read_images(spark, out).filter("width = 40").count() == 4
+    flat = extract.normalised_images(images, 40).filter("path like '%a.png'").first()["picture"]
+    assert bytes(flat) == P.png(P.normalise(extract.decoded(*files.read_images(spark, str(tmp_path / "a.png")).select("height", "width", "channels", "data").first()), 40))
+    plain_items = extract.with_manifest(extract.extract_features(images, ("color", "shape"), 40), manifest)
+    space = FeatureSpace(plain_items, {"color": "l1", "shape": "l2"}).fit()
+    upload = files.save_upload(spark, (tmp_path / "b.png").read_bytes(), str(tmp_path), "upload.png")
+    near = extract.query_by_image(space, files.read_images(spark, upload), 2, 40).collect()
+    assert near[0]["filename"] == "b.png" and near[0]["distance"] < 1e-9 < near[1]["distance"]
+    with pytest.raises(ValueError, match="decoded"):
+        extract.query_by_image(space, files.read_images(spark, str(tmp_path / "e.png")))

@@ -107,3 +107,36 @@ def test_many_partitions_are_replaced(spark):
     new = spark.range(5, 120_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
     got = store.replace_partition(old, new, "k").groupBy("v").count().collect()
     assert {r["v"]: r["count"] for r in got} == {0: 5, 1: 119_995}
+
+
+def test_upserts_number_new_keys(spark):
+    old = spark.createDataFrame([(7, "b", "x", None), (3, "a", None, None)], "image_id long, filename string, license string, ingested_at timestamp")
+    new = spark.createDataFrame([("z", "n"), ("a", None), ("c", None), ("b", "y")], "filename string, license string")
+    got = {r["filename"]: (r["image_id"], r["license"], r["ingested_at"] is not None) for r in store.upsert_images(old, new).collect()}
+    assert got == {"a": (3, None, True), "b": (7, "y", True), "c": (8, None, True), "z": (9, "n", True)}
+    assert store.upsert_images(old.limit(0), new).count() == 4
+
+
+def test_rebuild_and_sizes(spark, tmp_path):
+    root = str(tmp_path)
+    spark.range(5).select(F.col("id").alias("image_id")).write.parquet(f"{root}/images")
+    store.rebuild(spark, root)
+    assert spark.read.parquet(f"{root}/images").count() == 0
+    sizes = {r["table"]: (r["files"], r["bytes"]) for r in store.size_on_disk(spark, root).collect()}
+    held = [p for p in (tmp_path / "images").iterdir() if p.suffix == ".parquet"]
+    assert set(sizes) == set(store.SCHEMAS) and sizes["images"] == (len(held), sum(p.stat().st_size for p in held))
+
+
+def test_download(spark, tmp_path):
+    (tmp_path / "there").write_bytes(b"x" * 11_000)
+    (tmp_path / "short").write_bytes(b"x")
+    rows = [(f"http://host/{n}", str(tmp_path / n)) for n in ("there", "short", "bad")]
+
+    def _fetch(url):
+        if url.endswith("bad"):
+            raise OSError(url)
+        return b"new"
+
+    got = {r["url"][12:]: r["done"] for r in paged.download(spark.createDataFrame(rows, "url string, file string"), _fetch, pause=0).collect()}
+    assert got == {"there": True, "short": True, "bad": False}
+    assert len((tmp_path / "there").read_bytes()) == 11_000 and (tmp_path / "short").read_bytes() == b"new" and not (tmp_path / "bad").exists()
