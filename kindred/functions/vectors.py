@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,12 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def literal(values: Iterable[float]) -> Column:
+    """A constant vector, parsed at once rather than built entry by entry."""
+    texts = (f"{x!r}D" if math.isfinite(x) else f"double('{x}')" for x in map(float, values))
+    return F.expr(f"cast(array({', '.join(texts)}) as array<double>)")
+
+
 def block(v: Column, offset: int, dim: int) -> Column:
     """`dim` entries from the 0-based offset."""
     return F.slice(v, offset + 1, dim)

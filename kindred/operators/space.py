@@ -88,8 +88,7 @@ class FeatureSpace:
             return v
         if s not in self.stats:
             raise ValueError("fit() the space first")
-        lits = lambda x: F.array(*[F.lit(float(y)) for y in x])
-        return V.zscore(v, lits(self.stats[s]["mean"]), lits(self.stats[s]["std"]))
+        return V.zscore(v, V.literal(self.stats[s]["mean"]), V.literal(self.stats[s]["std"]))
 
     def prepared_items(self) -> DataFrame:
         return self.items.withColumns({s: self.prepared(s) for s in self.sets})
@@ -103,8 +102,7 @@ class FeatureSpace:
 
     def distances(self, query: Mapping[str, list[float]]) -> dict[str, Column]:
         """Raw distance columns over prepared items; sets that the query lacks are left out, without new weights."""
-        lits = lambda x: F.array(*[F.lit(float(y)) for y in x])
-        return {s: V.distance(self.metrics[s], F.col(s), self.prepared(s, lits(query[s]))) for s in self.sets if s in query}
+        return {s: V.distance(self.metrics[s], F.col(s), self.prepared(s, V.literal(query[s]))) for s in self.sets if s in query}
 
     def combine(self, raw: Mapping[str, Column]) -> Column:
         out = F.lit(0.0)

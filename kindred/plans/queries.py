@@ -135,7 +135,7 @@ def _one_distance(metric: str, s: str) -> None:
     @query(f"dist_{metric}", sql)
     def run(spark, d):
         rows = M.items(spark, d)
-        q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)[s]])
+        q = V.literal(M.query_of(rows, 7)[s])
         return rows.select("image_id", F.round(V.distance(metric, F.col(s), q), R).alias("d"))
 
 
@@ -187,7 +187,7 @@ def reranked_topk(spark, d):
     """An index's candidates ranked by the combined distance."""
     space = M.space(spark, d)
     asked = M.query_of(space.items, 7)
-    found = index.nearest_by_components(space.items, F.array(*[F.lit(x) for x in asked["deep"]]), 60, 8, z="deep")
+    found = index.nearest_by_components(space.items, V.literal(asked["deep"]), 60, 8, z="deep")
     return search.top_k(space, asked, exclude=[7], candidates=found).select("rank", "image_id", "genus", rnd("distance"), rnd("similarity"))
 
 
@@ -226,7 +226,7 @@ SELECT image_id, round(z, 6) AS z_distance FROM t ORDER BY round(z, 9), image_id
         @query(f"knn_slice{n}", sql)
         def run(spark, d):
             rows = M.items(spark, d)
-            q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)["deep"]])
+            q = V.literal(M.query_of(rows, 7)["deep"])
             return index.nearest_by_components(rows, q, 60, n, z="deep").select("image_id", rnd("z_distance"))
 
     _knn(_n)
@@ -249,7 +249,7 @@ SELECT f.image_id, v.visit::INT AS visit FROM f JOIN v ON f.label = v.cluster_id
 def kmeans_candidates_fixed(spark, d):
     rows = M.items(spark, d)
     centers, sizes = _centers(rows)
-    q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)["deep"]])
+    q = V.literal(M.query_of(rows, 7)["deep"])
     visited = index.cluster_order(centers, sizes, q, 60)
     return index.cluster_candidates(rows.withColumnRenamed("label", "cluster_id"), visited).select("image_id", "visit")
 
@@ -266,7 +266,7 @@ s AS (SELECT CASE WHEN n < 6 THEN NULL ELSE 61 * power(2, greatest(0, ceil(log2(
 SELECT image_id, rank::INT AS rank FROM h, s WHERE pool IS NULL OR rank <= pool""")
 def widened_pool(spark, d):
     rows = M.items(spark, d)
-    q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)["deep"]])
+    q = V.literal(M.query_of(rows, 7)["deep"])
     cut = lambda v: F.slice(v, 1, 2)
     ranked = placed(rows, F.round(V.l2(cut(F.col("deep")), cut(q)), 9), "image_id", name="rank").withColumn("rank", F.col("rank").cast("int"))
     passes = search.matches({"genus": ["g3"], "license": ["L1"]}) & (F.col("image_id") != 7)
@@ -299,7 +299,7 @@ SELECT image_id, round(z, 6) AS z_distance FROM t ORDER BY round(z, 9), image_id
 def mindist_prune(spark, d):
     rows = M.items(spark, d)
     tiled = index.sort_tiles(rows, 2, z="deep").select("image_id", "tile", F.slice("deep", 1, 2).alias("z"))
-    q = F.array(*[F.lit(x) for x in M.query_of(rows, 7)["deep"][:2]])
+    q = V.literal(M.query_of(rows, 7)["deep"][:2])
     return index.pruned_nearest(tiled, index.tile_boxes(tiled, 2), q, 20, 2).select("image_id", rnd("z_distance"))
 
 
@@ -319,9 +319,8 @@ def pca_knn_recall(spark, d):
     rows = M.items(spark, d).withColumn("v", F.concat(*M.SLICES))
     z = index.project(rows, "v", index.fit_pca(rows, "v", 8)).select("image_id", "v", "z")
     got = z.filter("image_id = 7").first()
-    lits = lambda v: F.array(*[F.lit(float(x)) for x in v])
-    pool = index.nearest_by_components(z, lits(got["z"]), 60, 8)
-    exact = index.nearest_by_components(z, lits(got["v"]), 5, 64, z="v").select("image_id")
+    pool = index.nearest_by_components(z, V.literal(got["z"]), 60, 8)
+    exact = index.nearest_by_components(z, V.literal(got["v"]), 5, 64, z="v").select("image_id")
     return exact.join(pool.select("image_id", F.lit(1).alias("hit")), "image_id", "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
