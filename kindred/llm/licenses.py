@@ -3,8 +3,9 @@
 Words are runs of letters and digits, lower-cased; shingles are SHINGLE words. Shingles that no template has can't
 add to a match, so only a document's template shingles, its hits, go on. Windows of a template class's width, overlapping by half, are
 laid over them; a window's hits and a template meet if they agree in one of BANDS MinHash bands of one row
-each. Any place of a template lies whole in one window; at a containment of 0.8 the chance that no band agrees is at most 0.2 ** BANDS, or 3e-12,
-when the window holds no other template's shingles. What meets is compared shingle by shingle, and is a match if the window
+each. Any place of a template lies whole in one window. At a containment of 0.8 the chance that no band agrees is at most 0.2 ** BANDS
+when the window holds no other template's shingles, and where all of it does, as in lists of licenses, at most 0.81 ** BANDS, or 1.4e-6, for templates
+of some words and 2e-4 for those of three. What meets is compared shingle by shingle, and is a match if the window
 has `least` of the template's distinct shingles.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialise, read
 
 SHINGLE = 3
-BANDS = 16
+BANDS = 64
 LEAST = 0.8
 
 #: Notices by which texts state their license, and the texts of some short licenses.
@@ -58,7 +59,7 @@ def _windows(hits: DataFrame, width: int) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, least: float = LEAST) -> DataFrame:
-    """doc_id, license, first_word (of its best window's first hit), containment: a row per document and license found.
+    """doc_id, license, first_word (the first in its best window that begins a shingle of the license), containment: a row per document and license found.
 
     Null and empty texts have no matches. Rows that repeat an id count as one document, whose best match is
     kept. Templates of fewer than SHINGLE words can't be found. No rows or no templates: no rows.
@@ -86,14 +87,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, *, i
     df = windows[0]
     for other in windows[1:]:
         df = df.unionByName(other)
-    df = df.filter(F.size("inside") > 0).select("doc_id", "width", F.array_distinct(F.transform("inside", lambda x: x["h"])).alias("own"), F.element_at("inside", 1)["i"].alias("first_word"))
+    own = F.array_distinct(F.transform("inside", lambda x: x["h"]))
     signature = lambda a: F.array(*[_least(a, b) for b in range(bands)])
-    df = df.select("doc_id", "width", "own", "first_word", F.monotonically_increasing_id().alias("window"), signature(F.col("own")).alias("signature"))
+    df = df.filter(F.size("inside") > 0).withColumn("own", own).select("doc_id", "width", "inside", F.monotonically_increasing_id().alias("window"), signature(F.col("own")).alias("signature"))
     df = materialise(df, "license-windows")
     banded = known.select("license", "shingles", "width", F.posexplode(signature(F.col("shingles"))).alias("band", "value"))
-    found = df.select("doc_id", "width", "own", "first_word", "window", F.posexplode("signature").alias("band", "value"))
+    found = df.select("doc_id", "width", "inside", "window", F.posexplode("signature").alias("band", "value"))
     found = found.join(F.broadcast(banded), ["width", "band", "value"]).dropDuplicates(["window", "license"])  # the templates' bands: a bounded table
-    found = found.select("doc_id", "license", "first_word", (F.size(F.array_intersect("own", "shingles")) / F.size("shingles")).alias("containment")).filter(F.col("containment") >= least)
+    first = F.element_at(F.filter("inside", lambda x: F.array_contains("shingles", x["h"])), 1)["i"]
+    found = found.select("doc_id", "license", first.alias("first_word"), (F.size(F.array_intersect(own, "shingles")) / F.size("shingles")).alias("containment")).filter(F.col("containment") >= least)
     best = F.max(F.struct("containment", (-F.col("first_word")).alias("early")))
     return found.groupBy("doc_id", "license").agg(best.alias("best")).select("doc_id", "license", (-F.col("best.early")).cast("int").alias("first_word"), F.col("best.containment").alias("containment"))
 

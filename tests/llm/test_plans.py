@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -321,3 +322,36 @@ def test_plans_fill_gaps(histogram, most):
             held[n] += m
     assert held == Counter(histogram)
     assert sum(m for _, m in plan) <= most
+
+
+def test_licenses_by_brute_force(spark):
+    """Templates back to back, in pieces and edited: the windows compared one by one, and each planted place that keeps enough."""
+    rng = random.Random(4)
+    words = {n: re.findall(r"[^\W_]+", t.lower()) for n, t in licenses.TEMPLATES.items()}
+    shingles = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    texts, planted = [], []
+    for doc in range(150):
+        out = []
+        for _ in range(rng.randrange(1, 7)):
+            name = rng.choice(list(words))
+            own = words[name][:]
+            for _ in range(rng.randrange(0, 1 + len(own) // 8)):
+                own[rng.randrange(len(own))] = rng.choice(["edited", "license", "the"])
+            if len(set(shingles(own)) & set(shingles(words[name]))) >= 0.8 * len(set(shingles(words[name]))):
+                planted.append((doc, name))
+            out += own + ["filler"] * rng.choice([0, 0, 1, 9, 40])
+        texts.append(" ".join(out))
+    want = {}
+    for doc, text in enumerate(texts):
+        h = shingles(text.split())
+        for name, w in words.items():
+            known, width = set(shingles(w)), 1 << max(2, (len(w) - 1).bit_length())
+            for s in range(0, len(h) + 1, width):
+                window = h[s : s + 2 * width]
+                share = len(known & set(window)) / len(known)
+                if share >= 0.8:
+                    at = s + next(i for i, x in enumerate(window) if x in known)
+                    best = want.get((doc, name), (0, 0))
+                    want[doc, name] = max(best, (share, -at)) if best != (0, 0) else (share, -at)
+    got = {(r["doc_id"], r["license"]): (r["containment"], -r["first_word"]) for r in licenses.scan_licenses(frame(spark, [(i, t, "", "", "", "", 0) for i, t in enumerate(texts)])).collect()}
+    assert got == want and set(planted) <= set(got) and len(planted) > 200
