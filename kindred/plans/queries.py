@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ingest_rules as rules
 from ..functions import vectors as V
 from ..operators import analysis, evaluate, feedback, index, ingest, search, store
-from ..operators.ordering import placed
+from ..operators.ordering import cut, placed
 from ..operators.space import SET_METRIC, FeatureSpace
 from . import model as M
 
@@ -389,11 +389,11 @@ def recall_at_k(spark, d):
 def backends(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The exact results of all rows, and those of each candidate index over the weighted embedding, re-ranked by the combined distance."""
     space, exact = leave_one_out(spark, d)
-    rows = space.items.select("image_id", space.embedding().alias("v"))
-    z = index.project(rows, "v", index.fit_pca(rows, "v", max(index.PCA_DIMS.values()))).select("image_id", "z")
-    found = {name: search.reranked(space, search.component_candidates(z, dims)) for name, dims in index.PCA_DIMS.items()}
+    exact, rows = cut(exact), cut(space.items.select("image_id", space.embedding().alias("v")))
+    z = cut(index.project(rows, "v", index.fit_pca(rows, "v", max(index.PCA_DIMS.values()))).select("image_id", "z"))
+    found = {name: search.component_top_k(space, z, dims) for name, dims in index.PCA_DIMS.items()}
     model = index.fit_kmeans(rows, "v")
-    assigned = model.transform(rows.withColumn("features", index.array_to_vector(F.col("v")))).select("image_id", "v", F.col("prediction").alias("cluster_id"))
+    assigned = cut(model.transform(rows.withColumn("features", index.array_to_vector(F.col("v")))).select("image_id", "v", F.col("prediction").alias("cluster_id")))
     visited = index.visited_clusters(assigned, model, "v", search.CANDIDATE_POOL)
     return exact, found | {"kmeans": search.cluster_top_k(space, assigned.select("image_id", "cluster_id"), visited)}
 

@@ -164,3 +164,46 @@ def test_rocchio_takes_all_marks(spark):
     marks = rows.select("image_id", (F.col("image_id") % 2 == 0).alias("relevant"))
     good, bad = 119_998 / 2, 120_000 / 2
     assert feedback.rocchio(s, {"a": [1.0]}, marks).first()["vector"] == pytest.approx([(1 + 0.75 * good - 0.25 * bad) / 1.5])
+
+
+def test_bounds_leave_the_nearest(spark):
+    """The search that bounds distances finds what all distances give, in far more than one tile: copies, ties, far and zero rows among them."""
+    rng = np.random.default_rng(3)
+    n, dims = 3000, {"a": 24, "b": 16, "c": 12}
+    v = {s: rng.normal(size=(n, d)) + np.arange(n)[:, None] % 3 for s, d in dims.items()}
+    for x in v.values():
+        x[1000:1100], x[2000:2200], x[7], x[8] = x[:100], x[5], 0, x[8] * 1e6
+    rows = spark.createDataFrame([(i, *(v[s][i].tolist() for s in dims)) for i in range(n)], "image_id long, a array<double>, b array<double>, c array<double>")
+    for weights in ({"a": 0.3, "b": 0.3, "c": 0.4}, {"a": 1.0}, {"c": 1.0}, {"a": 1.5, "c": -0.5}):
+        plain = {"b": {"mean": [0.5] * 16, "std": [2.0] * 16}}
+        s = space.FeatureSpace(rows, {"a": "l1", "b": "l2", "c": "cosine"}, weights=weights, stats=plain, scales={"a": 27.0, "b": 5.0, "c": 1.0})
+        asked = rows.filter("image_id % 10 = 7 or image_id in (5, 8, 1005)").withColumnRenamed("image_id", "qid")
+        got = {(r["qid"], r["rank"]): (r["id"], r["distance"]) for r in search.batch_top_k(s, asked, 6, query_block=100).collect()}
+        assert len(got) == 6 * 303
+        for q in {q for q, _ in got}:
+            z = v["b"] / 2
+            cos = 1 - v["c"] @ v["c"][q] / ((np.linalg.norm(v["c"], axis=1) + 1e-8) * (np.linalg.norm(v["c"][q]) + 1e-8))
+            d = s.weights["a"] * np.abs(v["a"] - v["a"][q]).sum(1) / 27 + s.weights["b"] * np.sqrt(np.square(z - z[q]).sum(1)) / 5 + s.weights["c"] * cos
+            d[q] = np.inf
+            best = np.lexsort((np.arange(n), np.round(d, 9)))[:6]
+            assert [got[q, r + 1][1] for r in range(6)] == pytest.approx(d[best].tolist(), abs=1e-8)
+            assert all(got[q, r + 1][0] == i or abs(d[got[q, r + 1][0]] - d[i]) < 2e-9 for r, i in enumerate(best))
+
+
+def test_sets_of_no_weight_are_not_compared(spark):
+    rows = spark.createDataFrame([(i, [float(i)], [float("nan")]) for i in range(9)], "image_id long, a array<double>, b array<double>")
+    s = space.FeatureSpace(rows, {"a": "l1", "b": "l1"}, weights={"a": 1.0}, scales={"a": 1.0, "b": 1.0})
+    got = {r["qid"]: (r["id"], r["distance"]) for r in search.batch_top_k(s, rows.withColumnRenamed("image_id", "qid"), 1).collect()}
+    assert got == {i: (max(0, i - 1) if i else 1, 1.0) for i in range(9)}
+
+
+def test_candidates_are_ranked_in_one_pass(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, rng.random(4).tolist()) for i in range(150)], "image_id long, a array<double>")
+    s = space.FeatureSpace(rows, {"a": "l1"}, weights={"a": 1.0}, scales={"a": 1.0})
+    got = {(r["qid"], r["rank"]): r["id"] for r in search.component_top_k(s, rows.withColumnRenamed("a", "z"), 2, 3, 10).collect()}
+    v = {r[0]: r[1] for r in rows.collect()}
+    for q in v:
+        pool = sorted((sum((x - y) ** 2 for x, y in zip(v[q][:2], v[i][:2], strict=True)), i) for i in v if i != q)[:10]
+        near = sorted((sum(abs(x - y) for x, y in zip(v[q], v[i], strict=True)), i) for _, i in pool)[:3]
+        assert [got[q, r] for r in (1, 2, 3)] == [i for _, i in near]
