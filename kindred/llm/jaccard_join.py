@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, numbered, read, small_batches
+from .common import discard, lean, materialise, numbered, read, small_batches
 from .components import components
 
 SHINGLE = 3
@@ -260,7 +260,7 @@ def _allowed(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     one = sketches.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     rows = pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "sa", "sb")
-    return rows.mapInArrow(_near(percent), "a long, b long, far long")
+    return rows.mapInArrow(lean(_near(percent)), "a long, b long, far long")
 
 
 def _verified(size: int, percent: int):
@@ -293,7 +293,7 @@ def _tested(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     # a short list of documents goes to the texts; beyond that both are shuffled
     rows = (F.broadcast(wanted) if wanted.count() <= SENT else wanted).join(texts, "doc").select("g", "part", "doc", "text")
     rows = rows.repartition("g", "part").sortWithinPartitions("g", "part", F.col("doc") != F.col("g"))
-    return rows.mapInArrow(_verified(size, percent), "a long, b long, linked boolean")
+    return rows.mapInArrow(lean(_verified(size, percent)), "a long, b long, linked boolean")
 
 
 def candidates_across(sketches: np.ndarray, n: np.ndarray, labels: np.ndarray, percent: int, most: int, cut: int = 0) -> tuple[list[tuple[int, int]], bool]:
@@ -361,7 +361,7 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc (unique), text. doc, n, rep of all; node, component of representatives that have links."""
-    sketched = rows.mapInArrow(_sketched(size, percent), "doc long, n long, rep long, key long, sketch binary, slack long")
+    sketched = rows.mapInArrow(lean(_sketched(size, percent)), "doc long, n long, rep long, key long, sketch binary, slack long")
     # rows of documents go through the same shuffle under keys of their own; both windows have one order, so there is one sort
     bucket = Window.partitionBy("key", "base")
     keyed = sketched.withColumn("base", F.col("rep").isNotNull())
@@ -409,7 +409,7 @@ def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
         now = open_.join(sketches, "doc").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         now = now.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "n", F.coalesce("component", "doc").alias("component"), "sketch")
         now = now.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block")
-        found = materialise(now.mapInArrow(_crossed(percent, most), "a long, b long, key long").distinct(), "jaccard-candidates")
+        found = materialise(now.mapInArrow(lean(_crossed(percent, most)), "a long, b long, key long").distinct(), "jaccard-candidates")
         new = materialise(found.filter("a is not null").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-new")
         if new.limit(1).count():
             old, tested = tested, materialise(tested.unionByName(_tested(new, rows, size, percent)), "jaccard-tested")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read
+from .common import give_back, in_workers, lean, materialise, read
 
 LENGTH = 1024
 END = 2
@@ -117,6 +117,12 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+def forget() -> None:
+    """Drops this worker's cache."""
+    word_cache.cache_clear()
+    give_back()
+
+
 def _groups(sizes: list[int], rows: int = 1 << 14, chars: int = 1 << 24) -> Iterator[tuple[int, int]]:
     """Runs of texts of bounded size; a longer text is alone."""
     low = held = 0
@@ -159,7 +165,7 @@ def token_pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *[pa.array(v, f[2]) for v, f in zip(out, fields, strict=True)]], ["doc_id", *[f[0] for f in fields]])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{a} {b}" for a, b, _ in fields]]))
+    return rows.mapInArrow(lean(run), ", ".join([f"doc_id {kind}", *[f"{a} {b}" for a, b, _ in fields]]))
 
 
 def price_configurations(prices: np.ndarray, sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -291,8 +297,6 @@ def plan_packing(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[
     return sorted(groups.items())
 
 
-
-
 def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """pieces with sequence_id and offset. Needs doc_id, piece and length (1 to `length`).
 
@@ -334,12 +338,14 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             names = [x for i, x in enumerate(batch.schema.names) if i != k]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, kind + ", sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), kind + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, *, length: int = LENGTH, end: int = END, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces with their sequences and places there."""
-    return pack_pieces(token_pieces(docs, path, id_col=id_col, text_col=text_col, length=length, end=end, keep_ids=keep_ids), length)
+    packed = pack_pieces(token_pieces(docs, path, id_col=id_col, text_col=text_col, length=length, end=end, keep_ids=keep_ids), length)
+    in_workers(docs.sparkSession, forget)  # pieces are on disk by now; workers outlive the stage
+    return packed
 
 
 def vocabulary() -> str:

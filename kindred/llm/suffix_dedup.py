@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, read
+from .common import lean, materialise, numbered, read
 
 LENGTH = 100
 GRAM = 20
@@ -441,7 +441,7 @@ def _spans(length: int):
 
 def _cut(rows: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """rows: doc (unique), text. doc, n_removed, n_spans, kept (bytes), kept_text of the documents that lose bytes."""
-    found = materialise(_reduced(rows.mapInArrow(_contexts(length, gram), ROWS)), "suffix-found")
+    found = materialise(_reduced(rows.mapInArrow(lean(_contexts(length, gram)), ROWS)), "suffix-found")
     # of a document: starts known as repeats, and contexts to compare
     known = F.filter("all", lambda x: x["key"].isNull())
     needs = F.filter("all", lambda x: x["key"].isNotNull())
@@ -449,16 +449,16 @@ def _cut(rows: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     touched = materialise(rows.join(touched, "doc").select("doc", "text", known.alias("known"), needs.alias("needs")), "suffix-texts")
     wanted = touched.filter(F.size("needs") > 0)
     shape = "key long, doc long, p int, n int, context binary"
-    calm = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] <= crowd).alias("needs")).mapInArrow(_cut_out(length), shape)
-    new = calm.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(length, gram), "doc long, p int, n int")
+    calm = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] <= crowd).alias("needs")).mapInArrow(lean(_cut_out(length)), shape)
+    new = calm.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_compared(length, gram)), "doc long, p int, n int")
     if found.filter(F.col("crowd") > crowd).limit(1).count():
-        crowded = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] > crowd).alias("needs")).mapInArrow(_cut_out(length), shape)
-        new = new.unionByName(_reduced(crowded.mapInArrow(_one_by_one(length), ROWS)).filter("key is null").select("doc", "p", "n"))
+        crowded = wanted.select("doc", "text", F.filter("needs", lambda x: x["crowd"] > crowd).alias("needs")).mapInArrow(lean(_cut_out(length)), shape)
+        new = new.unionByName(_reduced(crowded.mapInArrow(lean(_one_by_one(length)), ROWS)).filter("key is null").select("doc", "p", "n"))
     new = new.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("new"))
     none = F.array().cast("array<struct<p:int,n:int>>")
     starts = F.concat(F.transform("known", lambda x: F.struct(x["p"].alias("p"), x["n"].alias("n"))), F.coalesce("new", none))
     out = touched.join(new, "doc", "left").withColumn("starts", starts).filter(F.size("starts") > 0).select("doc", "text", "starts")
-    return out.mapInArrow(_spans(length), "doc long, n_removed long, n_spans long, kept binary, kept_text string")
+    return out.mapInArrow(lean(_spans(length)), "doc long, n_removed long, n_spans long, kept binary, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:

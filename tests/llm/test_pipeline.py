@@ -1,5 +1,7 @@
+import pyarrow as pa
+
 import corpus_pipeline as P
-from kindred.llm import common, quality
+from kindred.llm import common, packing, quality
 
 from .test_dedup import linked, removed
 
@@ -48,3 +50,15 @@ def test_verdicts_are_of_rows(spark, tmp_path):
     two = P.near_duplicates(spark, one, d)
     assert flat(two) == sorted([(7, text(7)), (8, text(8)), (8, text(9)), (9, text(10)), (0, text(11))], key=str)
     assert docs.columns == one.columns == two.columns
+
+
+def test_workers_forget_words(spark):
+    """Once documents are packed, no Python worker holds the tokeniser and its cached words."""
+    docs = spark.createDataFrame([(i, f"of {i} words and more {i * i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    assert packing.pack_documents(docs, packing.vocabulary()).count() == 400
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packing.word_cache.cache_info().currsize] * b.num_rows, pa.int64())], ["n"])
+
+    assert {r["n"] for r in spark.range(0, 32, 1, 32).mapInArrow(held, "n long").collect()} == {0}
