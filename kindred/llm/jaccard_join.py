@@ -4,7 +4,8 @@ A document's set of word shingles becomes a parity sketch: each shingle flips on
 blocks. Sets whose similarity is at least the threshold differ in few shingles, and each of these changes one block at most;
 so with k blocks, more than the greatest difference in a band of sizes, similar sets agree in
 k - d blocks or more. Blocks are very wide and sparse, so each is kept as the XOR of 64-bit names of its set bits.
-Equal blocks under one scheme meet in a bucket.
+Equal blocks under one scheme meet in a bucket. Most keys occur once, and all of them have to be shuffled to find those that don't; so they
+travel packed, by ranges of keys, and only repeated ones become rows.
 
 Each set also has a narrow parity sketch of two to four bits for each shingle, whose Hamming distance bounds the
 difference of two sets from below: it rules out nearly all pairs that aren't linked before any text moves.
@@ -43,6 +44,10 @@ BLOCK_ROWS, BITS = 1024, 2048
 GROUP = 256
 #: Rows of three numbers that are broadcast at most.
 SENT = 200_000
+#: Ranges of keys (a power of two, in bits) and bytes of a key within its range; two keys that these confuse cost a test at most.
+RANGE_BITS, KEY_BYTES = 12, 5
+#: Keys that a task holds before it packs them or looks for repeated ones, and most of a packed row.
+LOT, PACKED = 1 << 20, 1 << 14
 #: Documents, and characters, whose shingles are held at once (a longer text is alone).
 CHUNK, CHUNK_CHARS = 500, 2_000_000
 
@@ -189,16 +194,65 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each, all lowest ones first: upper bytes that are alike compress well."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _from_planes(data: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = data.reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def packed_keys(doc: np.ndarray, key: np.ndarray, tag: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, packed) of rows doc (long), key (unsigned, of which the highest RANGE_BITS + 8 * KEY_BYTES bits count), tag (0 or more).
+
+    Rows of a range stand by document, so that ids are short steps from the one before.
+    """
+    span = (key >> np.uint64(64 - RANGE_BITS)).astype(np.int64)
+    order = np.lexsort((doc, span))
+    span, doc, tag = span[order], doc[order], tag[order].astype(np.uint64)
+    key = key[order] >> np.uint64(64 - RANGE_BITS - 8 * KEY_BYTES)
+    ends = np.append(np.flatnonzero(np.diff(span)) + 1, len(span)).tolist() if len(span) else []
+    for start, end in zip([0, *ends], ends, strict=False):
+        for low in range(start, end, PACKED):
+            high = min(end, low + PACKED)
+            step = np.diff(doc[low:high], prepend=doc[low]).view(np.uint64)  # differences wrap around, and so do sums
+            widths = [max(1, (int(v.max()).bit_length() + 7) // 8) for v in (step, tag[low:high])]
+            head = np.array([doc[low]], "<i8").tobytes() + bytes(widths)
+            yield int(span[low]), head + _planes(key[low:high], KEY_BYTES) + _planes(step, widths[0]) + _planes(tag[low:high], widths[1])
+
+
+def unpacked_keys(span: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, key (as many bits as count), tag of what packed_keys made."""
+    data = np.frombuffer(packed, np.uint8)
+    w = (KEY_BYTES, int(data[8]), int(data[9]))
+    m = (len(data) - 10) // sum(w)
+    key, step, tag = (_from_planes(v, k) for v, k in zip(np.split(data[10:], np.cumsum(w)[:2] * m), w, strict=True))
+    doc = (np.cumsum(step, dtype=np.uint64) + data[:8].view("<u8")[0]).view(np.int64)
+    return doc, key | (np.uint64(span) << np.uint64(8 * KEY_BYTES)), tag
+
+
 def _sketched(size: int, percent: int):
-    """(doc, n, rep, key, sketch, slack): a row per document with its representative among equal sets of the batch and, for a
-    representative, its parity sketch and slacks (that of back 1 in the high half); and rows of block keys, which have none of these, n below 0 for back 1."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    """(span, doc, n, rep, sketch, slack, keys): a row per document with its representative among equal sets of the batch and, for a
+    representative, its parity sketch and slacks (that of back 1 in the high half); and rows of packed block keys, which have
+    none of these: their tag is 2 n + back."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
 
     def rows(*columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["doc", "n", "rep", "key", "sketch", "slack"])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["span", "doc", "n", "rep", "sketch", "slack", "keys"])
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = list(packed_keys(*(np.concatenate(v) for v in zip(*held, strict=True)))) if held else []
+        for k in range(0, len(found), CHUNK):
+            spans, keys = zip(*found[k : k + CHUNK], strict=True)
+            none = pa.nulls(len(keys), pa.int64())
+            yield rows(spans, none, none, none, pa.nulls(len(keys), pa.binary()), none, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
+        held: list[tuple] = []
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), batch.column(1)
             first: dict[bytes, int] = {}
@@ -219,15 +273,85 @@ def _sketched(size: int, percent: int):
                         column.append(value)
                 names.trim()
                 which, key, back, slack = blocks_of(sets, percent)
-                packed = dict(zip(own, (slack[:, 0] + (slack[:, 1] << 32)).tolist(), strict=True))
-                yield rows(*out[:3], _mix(np.array(out[0], np.int64).view(np.uint64)).view(np.int64), out[3], [packed.get(d) if d == r else None for d, r in zip(out[0], out[2], strict=True)])
+                slacks = dict(zip(own, (slack[:, 0] + (slack[:, 1] << 32)).tolist(), strict=True))
+                span = (_mix(np.array(out[0], np.int64).view(np.uint64)) >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+                yield rows(span, *out, [slacks.get(d) if d == r else None for d, r in zip(out[0], out[2], strict=True)], pa.nulls(len(span), pa.binary()))
                 if len(which):
-                    n, none = np.array([len(s) for s in sets], np.int64)[which], pa.nulls(len(which), pa.int64())
-                    yield rows(np.array(own, np.int64)[which], np.where(back == 1, -n, n), none, key.view(np.int64), pa.nulls(len(which), pa.binary()), none)
+                    n = np.array([len(s) for s in sets], np.int64)[which]
+                    held.append((np.array(own, np.int64)[which], key, 2 * n + back))
+                if sum(len(v[0]) for v in held) >= LOT:
+                    yield from packed(held)
+                    held = []
+        yield from packed(held)
 
     return run
 
 
+class Repeats:
+    """Finds the keys of a range that more than one row has, in lots: memory holds a row per key besides a lot, however many rows one key has."""
+
+    def __init__(self) -> None:
+        self.lot: list[tuple] = []
+        self.rows = 0
+        self.seen = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool))
+
+    def add(self, doc: np.ndarray, key: np.ndarray, tag: np.ndarray) -> bool:
+        """Whether it is time to take."""
+        self.lot.append((doc, key, tag))
+        self.rows += len(doc)
+        return self.rows >= max(LOT, len(self.seen[0]))
+
+    def take(self) -> list[np.ndarray]:
+        """doc, key, tag, first, tag of the first: rows since the last call whose key is repeated, and those before that have become so. first: one
+        row of the key, the same each time; of one lot, the least document's."""
+        new = [np.concatenate(v) for v in zip(*self.lot, strict=True)] if self.lot else [v[:0] for v in self.seen[:3]]
+        doc, key, tag = (np.concatenate(v) for v in zip(self.seen[:3], new, strict=True))
+        fresh = np.arange(len(doc)) >= len(self.seen[0])
+        sent = np.append(self.seen[3], np.zeros(len(new[0]), bool))
+        self.lot, self.rows = [], 0
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        many = np.append(same, False) | np.append(False, same)[: len(order)]
+        alone, order = order[~many[: len(order)]], order[many[: len(order)]]
+        order = order[np.lexsort((doc[order], fresh[order], key[order]))]
+        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(order)])
+        first = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+        due = ~sent[order]
+        sent[order[starts]] = True
+        left = np.append(alone, order[starts])
+        self.seen = (doc[left], key[left], tag[left], sent[left])
+        order, first = order[due], first[due]
+        return [doc[order], key[order], tag[order], doc[first], tag[first]]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of _sketched's rows in order of span: doc, n, rep, key, first, n1, sketch, slack. Rows of documents as they are, and a row for each
+    document of a key that several have: n below 0 for back 1, and the key's first document with its size."""
+    names = ["doc", "n", "rep", "key", "first", "n1", "sketch", "slack"]
+    span, found = None, Repeats()
+
+    def rows(doc: np.ndarray, key: np.ndarray, tag: np.ndarray, first: np.ndarray, tag1: np.ndarray) -> pa.RecordBatch:
+        n, none = (tag >> np.uint64(1)).astype(np.int64), pa.nulls(len(doc), pa.int64())
+        n1 = (tag1 >> np.uint64(1)).astype(np.int64)
+        columns = (doc, np.where(tag & np.uint64(1), -n, n), none, key.view(np.int64), first, n1, pa.nulls(len(doc), pa.binary()), none)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names)
+
+    for batch in batches:
+        docs = batch.filter(pc.is_valid(batch.column("rep")))
+        none = pa.nulls(len(docs), pa.int64())
+        yield pa.RecordBatch.from_arrays([docs["doc"], docs["n"], docs["rep"], none, none, none, docs["sketch"], docs["slack"]], names)
+        keys = batch.filter(pc.is_valid(batch.column("keys")))
+        for s, packed in zip(keys["span"].to_pylist(), keys["keys"].to_pylist(), strict=True):
+            if s != span:
+                if found.lot:
+                    yield rows(*found.take())
+                span, found = s, Repeats()
+            if found.add(*unpacked_keys(s, packed)):
+                yield rows(*found.take())
+    if found.lot:
+        yield rows(*found.take())
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct names."""
     if not len(a) or not len(b):
@@ -361,13 +485,11 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """rows: doc (unique), text. doc, n, rep of all; node, component of representatives that have links."""
-    sketched = rows.mapInArrow(lean(_sketched(size, percent)), "doc long, n long, rep long, key long, sketch binary, slack long")
-    # rows of documents go through the same shuffle under keys of their own; both windows have one order, so there is one sort
-    bucket = Window.partitionBy("key", "base")
-    keyed = sketched.withColumn("base", F.col("rep").isNotNull())
-    found = keyed.select("*", F.count(F.lit(1)).over(bucket).alias("many"), F.min(F.struct("doc", "n")).over(bucket).alias("first"))
+    sketched = rows.mapInArrow(lean(_sketched(size, percent)), "span int, doc long, n long, rep long, sketch binary, slack long, keys binary")
+    # rows of documents go through the same shuffle under spans of their own
+    dealt = sketched.repartition("span").sortWithinPartitions("span")
     with small_batches(rows.sparkSession):
-        found = materialise(found.filter("base or many > 1").select("doc", "n", "rep", "key", F.col("first.doc").alias("first"), F.abs("first.n").alias("n1"), "sketch", "slack"), "jaccard-found")
+        found = materialise(dealt.mapInArrow(lean(_met), "doc long, n long, rep long, key long, first long, n1 long, sketch binary, slack long"), "jaccard-found")
     base = materialise(found.filter("rep is not null").select("doc", "n", "rep"), "jaccard-base")
     sketches = found.filter("sketch is not null").select("doc", "n", "sketch")
     members = found.filter("rep is null").select("key", "doc", F.abs("n").alias("n"), (F.col("n") < 0).alias("back"), "first", "n1")

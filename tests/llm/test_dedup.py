@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,48 @@ def test_candidates_across_blocks():
         assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
 
 
+def test_keys_travel_packed():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(800)]
+    texts += [t + " end" for t in texts[::4]] + ["", "one"]
+    docs = [7 * i - 1000 for i in range(len(texts))]
+    out = list(jaccard_join._sketched(3, 90)(iter([pa.RecordBatch.from_arrays([pa.array(docs), pa.array(texts)], ["doc", "text"])])))
+    sets = [jaccard_join.shingle_set(t, jaccard_join.Names()) for t in texts]
+    which, key, back, _ = jaccard_join.blocks_of(sets, 90)
+    assert sum(b.nbytes - b["sketch"].nbytes for b in out) < 16 * len(key)
+    met = pa.Table.from_batches(jaccard_join._met(iter(pa.Table.from_batches(out).sort_by("span").to_batches())))
+    assert sorted((r["doc"], r["n"], r["rep"]) for r in met.to_pylist() if r["rep"] is not None) == [(d, len(s), d) for d, s in zip(docs, sets, strict=True)]
+    by = {}
+    for i, k, b in zip(which.tolist(), (key >> np.uint64(12)).tolist(), back.tolist(), strict=True):
+        by.setdefault(k, []).append((docs[i], -len(sets[i]) if b else len(sets[i])))
+    want = sorted((k, d, n, min(v)[0], abs(min(v)[1])) for k, v in by.items() if len(v) > 1 for d, n in v)
+    assert len(want) > 1000
+    assert sorted((r["key"], r["doc"], r["n"], r["first"], r["n1"]) for r in met.to_pylist() if r["rep"] is None) == want
+
+
+@pytest.mark.parametrize("lot", [1, 50, 10_000])
+def test_repeated_keys_in_lots(monkeypatch, lot):
+    monkeypatch.setattr(jaccard_join, "LOT", lot)
+    monkeypatch.setattr(jaccard_join, "PACKED", 20)
+    rng = random.Random(7)
+    data = [(rng.choice([rng.randrange(30), -(2**63), 2**63 - 1, rng.randrange(-(2**62), 2**62)]), rng.choice([rng.getrandbits(64), 1 << 60, rng.randrange(9) << 50]), rng.randrange(70_000)) for _ in range(900)]
+    columns = [np.array(v, t) for v, t in zip(zip(*data, strict=True), (np.int64, np.uint64, np.int64), strict=True)]
+    rows, found, out = [], jaccard_join.Repeats(), []
+    for span, packed in jaccard_join.packed_keys(*columns):
+        rows.append(jaccard_join.unpacked_keys(span, packed))
+        if found.add(*rows[-1]):
+            out.append(found.take())
+    out.append(found.take())
+    rows = [r for v in rows for r in zip(*(c.tolist() for c in v), strict=True)]
+    assert sorted(rows) == sorted((d, k >> 12, t) for d, k, t in data)
+    keys = [r[1] for r in rows]
+    out = [r for v in out for r in zip(*(c.tolist() for c in v), strict=True)]
+    assert sorted(r[:3] for r in out) == sorted(r for r in rows if keys.count(r[1]) > 1)
+    firsts = {(r[1], r[3:]) for r in out}
+    assert len(firsts) == len({k for k, _ in firsts})
+    assert {(d, k, t) for k, (d, t) in firsts} <= set(rows)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.remove_repeats(none).count() == 0
